@@ -17,7 +17,6 @@ import hashlib
 import heapq
 import json
 import mmap
-import os
 import re
 import tempfile
 import unicodedata
@@ -439,13 +438,10 @@ class Transducer:
 
 
 def mapped(compiled: bytes) -> Transducer:
-    """The transducer memory-mapped from this machine's copy, which workers share."""
-    name = os.path.join(tempfile.gettempdir(), f"cinderlog-{hashlib.sha256(compiled).hexdigest()[:24]}.fst")
-    if not os.path.exists(name):
-        with tempfile.NamedTemporaryFile(dir=os.path.dirname(name), delete=False) as file:
-            file.write(compiled)
-        os.replace(file.name, name)
-    with open(name, "rb") as file:
+    """The transducer memory-mapped from a file of this machine, which goes with its last user."""
+    with tempfile.NamedTemporaryFile(prefix="cinderlog-", suffix=".fst") as file:
+        file.write(compiled)
+        file.flush()
         return Transducer(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
 
