@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlog.llm import bpe, exact_dedup, packing, sst
+from cinderlog.llm import bpe, exact_dedup, nbsvm, ngram_join, packing, quality_rules, sst
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,12 +31,24 @@ def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.token_output(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nbsvm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_token_output, op7_packing)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_token_output, op5_ngram_jaccard, op7_packing, op8_quality_rules, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
