@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlog.llm import bpe, exact_dedup, nbsvm, ngram_join, packing, quality_rules, sst
+from cinderlog.llm import bpe, exact_dedup, html, nbsvm, ngram_join, packing, quality_rules, sst
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(table(spark, sf_dir, "documents"), size=3, num=90, den=100)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -48,7 +52,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_token_output, op5_ngram_jaccard, op7_packing, op8_quality_rules, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_token_output, op5_ngram_jaccard, op6_html_extraction, op7_packing, op8_quality_rules, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
