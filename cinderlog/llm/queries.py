@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlog.llm import bpe, exact_dedup, html, nbsvm, ngram_join, packing, quality_rules, sst
+from cinderlog.llm import bpe, chat, exact_dedup, html, line_dedup, nbsvm, ngram_join, packing, quality_rules, sst
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sst.token_output(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -51,8 +55,12 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.link(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op4_token_output, op5_ngram_jaccard, op6_html_extraction, op7_packing, op8_quality_rules, op9_quality_classifier)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_token_output, op5_ngram_jaccard, op6_html_extraction, op7_packing, op8_quality_rules, op9_quality_classifier, op10_chat_quotes)}
 
 
 def oracle_sql() -> dict[str, str]:
