@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm._text import docs_of, map_arrow, span_hashes
+from cinderlog.llm._text import cut, docs_of, map_arrow, span_hashes
 
 #: Words of the lexicon at most: 65,536 words of 64 bytes compile to under 40 MB, whatever the corpus.
 LEXICON_WORDS = 1 << 16
@@ -449,9 +449,11 @@ def mapped(compiled: bytes) -> Transducer:
 
 
 def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> DataFrame:
-    """(word, n): the `limit` most frequent words of all texts, ties by the word.
+    """(word, n): the most frequent words of all texts, at most `limit` of them.
 
-    Each task adds up the counts of a batch before they are shuffled.
+    Each task adds up the counts of a batch before they are shuffled. The least count comes
+    from a histogram of counts in steps of 1/16 of their logarithm; words of a step stay or
+    go together, so no task sorts the words of all tasks.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -465,7 +467,14 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> Da
                 yield {"word": words, "n": n[short]}
 
     counts = map_arrow(docs.select("text"), count, "word string, n long")
-    return counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
+    total = cut(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 16).cast("int")))
+    least, words = None, 0
+    for step, n in sorted(total.groupBy("step").count().collect(), reverse=True):
+        words += n
+        if words > limit:
+            break
+        least = step
+    return total.where(F.col("step") >= least if least is not None else F.lit(False)).select("word", "n")
 
 
 def build_lexicon(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> bytes:
