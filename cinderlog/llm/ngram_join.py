@@ -87,7 +87,7 @@ class Threshold:
         return tuple(out)
 
     def _ranges(self, least: int, a: int, b: int) -> tuple[int, int]:
-        need = max(self.differ(a, b), self.differ(a, max(a, b - 1))) + 1
+        need = max(self.differ(a, b), self.differ(a, b - 1)) + 1  # of two sums one apart, either may allow more
         empty = need * exp(-least / need)
         spare = ceil(empty + 3 * sqrt(empty)) if need > 1 else 0
         return need + spare, spare
