@@ -15,7 +15,7 @@ def clean(df: DataFrame, column: str, out: str = "cleaned") -> DataFrame:
     df = df.withColumn(out, F.col(column))
     for pattern, flags, replacement in rules.CLEANERS:
         df = df.withColumn(out, regex.replace(F.col(out), pattern, replacement, flags))
-    return df.withColumn(out, regex.strip(F.col(out)))
+    return df.withColumn(out, regex.sealed(regex.strip(F.col(out))))
 
 
 def family(text: Column) -> Column:

@@ -36,7 +36,7 @@ def normalise(df: DataFrame, column: str, out: str = "normalised", settings: Set
     restored = F.aggregate(
         indices, F.col(out), lambda text, i: F.replace(text, F.concat(F.lit("\0PM"), i.cast("string"), F.lit("\0")), F.get(F.col(parked), i))
     )
-    return df.withColumn(out, F.lower(regex.strip(regex.replace(restored, r"\s+", " ")))).drop(parts, parked)
+    return df.withColumn(out, regex.sealed(F.lower(regex.strip(regex.replace(restored, r"\s+", " "))))).drop(parts, parked)
 
 
 def signature_hash(ecosystem: Column, normalised: Column) -> Column:
