@@ -14,8 +14,8 @@ upper corner bounds the overlap with all points in it.
    in groups of bounded size. Each group is indexed by an R-tree of its points; pairs that
    survive the bound are verified with the whole sets, those already connected skipped.
 4. What remains are keys whose sets lie in different components: their points meet in
-   tiles of bounded size, again by R-tree, and the surviving pairs are verified. So no
-   link between different texts is lost.
+   tiles of bounded size, again by R-tree; surviving pairs are held against points of 512
+   groups, then verified. So no link between different texts is lost.
 
 Cases: texts without words are linked with nothing and have 0 n-grams; texts with fewer
 words than n have one n-gram, the whole sequence; null text is empty; rows with a null
@@ -40,6 +40,8 @@ from cinderlog.llm._text import cut, docs_of, map_arrow, mix, text_bytes, window
 from cinderlog.llm.components import components
 
 GROUPS = 64
+#: Groups of the second, finer points that pairs are held against before sets are sent to them.
+FINE_GROUPS = 512
 LEAF = 32
 #: N-grams in a group of step 3 and points in a tile of step 4, about.
 GROUP_GRAMS, TILE_POINTS = 1_000_000, 1024
@@ -51,9 +53,9 @@ def gram_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
         yield np.unique(windows(words, min(size, len(words)))) if len(words) else np.empty(0, np.uint64)
 
 
-def points(sets: list[np.ndarray]) -> np.ndarray:
-    """Counts by group: the top six bits of an n-gram's hash."""
-    edges = np.arange(1, GROUPS, dtype=np.uint64) << np.uint64(58)
+def points(sets: list[np.ndarray], groups: int = GROUPS) -> np.ndarray:
+    """Counts by group: the top bits of an n-gram's hash; groups is a power of two."""
+    edges = np.arange(1, groups, dtype=np.uint64) << np.uint64(65 - groups.bit_length())
     return np.stack([np.diff(np.concatenate([[0], np.searchsorted(x, edges), [len(x)]])) for x in sets]).astype(np.int32)
 
 
@@ -284,8 +286,8 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
     first = components(links)
 
     # step 4: keys whose sets lie in different components
-    member = cut(sets.join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"), "grams"))
-    known = shared.select("key", "rep").join(member.select("rep", "component"), "rep")
+    member = cut(sets.select("rep").join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
+    known = shared.select("key", "rep").join(member, "rep")
     by_component = known.groupBy("key", "component").agg(F.count("*").alias("k"))
     open_keys = by_component.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1")
     tiles = open_keys.select("key", "main", F.ceil(F.col("most") / TILE_POINTS).cast("int").alias("a"), F.ceil((F.col("rows") - F.col("most")) / TILE_POINTS).cast("int").alias("b"))
@@ -298,7 +300,7 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
     others = of_rest.where("b > 1").select("key", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k")).where("k != own")
     with_rest = others.select("key", "rep", "component", (-1 - F.least("own", "k")).alias("i"), F.greatest("own", "k").alias("j"))
     meet = of_main.unionByName(with_main).unionByName(with_rest)
-    vectors = map_arrow(member.select("rep", "grams"), _vectors, "rep long, point binary")
+    vectors = map_arrow(sets, _vectors(GROUPS), "rep long, point binary")
     meet = meet.join(vectors, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -306,7 +308,7 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
             if table.num_rows < 2:
                 continue
             ids, own = (np.array(table.column(x).to_pylist(), np.int64) for x in ("rep", "component"))
-            counts = np.stack([np.frombuffer(x, "<i4") for x in table.column("point").to_pylist()])
+            counts = np.stack([np.frombuffer(x, "<u4") for x in table.column("point").to_pylist()]).astype(np.int32)
             tree = RTree(counts, counts.sum(1))
             boxes = _box_labels(tree, own)
             u, v = [], []
@@ -320,13 +322,25 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
 
     pairs = cut(map_arrow(meet, cross, "u long, v long").distinct())
 
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """Pairs whose finer points still allow a link."""
+        for batch in batches:
+            a, b = (np.stack([np.frombuffer(x, "<u4") for x in batch.column(c).to_pylist()]) if batch.num_rows else np.empty((0, FINE_GROUPS), "<u4") for c in ("a", "b"))
+            good = np.minimum(a, b).sum(1) >= threshold.overlap(a.sum(1).astype(np.int64), b.sum(1).astype(np.int64))
+            yield {"u": batch.column("u").to_numpy()[good], "v": batch.column("v").to_numpy()[good]}
+
+    fine = map_arrow(sets, _vectors(FINE_GROUPS), "rep long, point binary")
+    pairs = pairs.join(fine.select(F.col("rep").alias("u"), F.col("point").alias("a")), "u").join(fine.select(F.col("rep").alias("v"), F.col("point").alias("b")), "v")
+    pairs = cut(map_arrow(pairs.select("u", "v", "a", "b"), close, "u long, v long"))
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             good = np.array([_same(a, b, threshold) for a, b in zip(_grams(batch.column("a")), _grams(batch.column("b")), strict=True)], bool)
             yield {"u": batch.column("cu").to_numpy()[good], "v": batch.column("cv").to_numpy()[good]}
 
-    one = member.select(F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("grams").alias("a"))
-    two = member.select(F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("grams").alias("b"))
+    own = sets.join(member, "rep")
+    one = own.select(F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("grams").alias("a"))
+    two = own.select(F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("grams").alias("b"))
     more = components(map_arrow(pairs.join(one, "u").join(two, "v").select("cu", "cv", "a", "b"), verify, "u long, v long"))
 
     joined = member.select("rep", "component").join(more.select(F.col("id").alias("component"), F.col("component").alias("merged")), "component", "left")
@@ -345,10 +359,15 @@ def _sets(size: int):  # noqa: ANN202
     return run
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        sets = _grams(batch.column("grams"))
-        yield {"rep": batch.column("rep"), "point": [x.astype("<i4").tobytes() for x in points(sets)] if sets else []}
+def _vectors(groups: int):  # noqa: ANN202
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            ids = batch.column("rep")
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield {"rep": ids.slice(at, 1000), "point": [x.astype("<u4").tobytes() for x in points(_grams(part.column("grams")), groups)]}
+
+    return run
 
 
 def keep_one(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
