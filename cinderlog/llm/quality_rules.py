@@ -142,7 +142,7 @@ def estimate(rows: DataFrame, level: str) -> DataFrame:
     rows: lang, source, v of the texts that passed the base rules. Keys are never null.
     """
     keys = _on(_KEYS[level])
-    rows = rows.withColumn("one", F.lit("")).select(*keys, "v")
+    rows = rows.withColumn("one", F.substring("lang", 1, 0)).select(*keys, "v")
     middles = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile(F.col("v")[i], F.lit(0.5)).alias(f"m{i}") for i in range(DIM)))
     centred = rows.join(middles.select(*keys, F.array(*(F.col(f"m{i}") for i in range(DIM))).alias("m")), keys)
     spread = centred.groupBy(*keys).agg(*(F.percentile(F.abs(F.col("v")[i] - F.col("m")[i]), F.lit(0.5)).alias(f"d{i}") for i in range(DIM)))
@@ -175,7 +175,7 @@ def judge(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
     rows = cut(statistics(documents).withColumns({"lang": F.coalesce("lang", F.lit("\0")), "source": F.coalesce("source", F.lit("\0"))}))
     passed = rows.where(~F.col("base_failed")).select("lang", "source", "v")
-    judged = rows.withColumn("one", F.lit(""))
+    judged = rows.withColumn("one", F.substring("lang", 1, 0))  # a key that all rows have; a literal would make the join a cross join
     for level, names in _KEYS.items():
         keys = _on(names)
         # a factor over 1 would widen distances where most texts are alike
