@@ -26,7 +26,7 @@ def _gated(gate: Column, rule: rules.Redaction) -> Callable[[Column], Column]:
 
 
 def _gated_parts(gate: Column, rule: rules.Redaction) -> Callable[[Column], Column]:
-    return lambda x: F.when(gate, regex.split_matches(x, rule.pattern, rule.flags)).otherwise(F.array(x))
+    return lambda x: F.when(gate, regex.split_matches(x, rule.pattern, rule.flags)).when(x.isNotNull(), F.array(x))
 
 
 def redact(df: DataFrame, column: str, out: str = "redaction", strict: bool | Column = True, chain: Sequence[rules.Redaction] = tuple(rules.REDACTIONS), settings: Settings = DEFAULTS) -> DataFrame:
@@ -58,7 +58,7 @@ def redact(df: DataFrame, column: str, out: str = "redaction", strict: bool | Co
     if strict is not False:
         text, parts, n = F.col(t), f"__{out}_parts", f"__{out}_entropy"
         wanted = F.lit(strict) if isinstance(strict, bool) else strict
-        df = df.withColumn(parts, regex.let(text, lambda x: F.when(wanted, regex.split_matches(x, rules.ENTROPY_CANDIDATE)).otherwise(F.array(x))))
+        df = df.withColumn(parts, regex.let(text, lambda x: F.when(wanted, regex.split_matches(x, rules.ENTROPY_CANDIDATE)).when(x.isNotNull(), F.array(x))))
         replaced, counted = regex.replace_each(F.col(parts), lambda x: _is_random(x, settings.entropy_threshold), "[REDACTED_HIGH_ENTROPY]")
         df = df.withColumns({n: counted, t: replaced}).drop(parts)
         hits.append(("high_entropy", n))

@@ -15,4 +15,4 @@ def process_stream(stream: DataFrame, column: str = "raw_log") -> DataFrame:
 
 def signature_windows(processed: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """How often each signature occurred in each window of event time; state goes once a window is past the watermark."""
-    return processed.withWatermark("ts", late).groupBy(F.window("ts", window), "team_id", "signature_hash").agg(F.count("*").alias("occurrence_count"), F.max("ts").alias("last_seen_at"))
+    return processed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", window), "team_id", "signature_hash").agg(F.count("*").alias("occurrence_count"), F.max("ts").alias("last_seen_at"))
