@@ -8,8 +8,11 @@ footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) go
 as a host of few pages can't show its template. The text of the article is what remains:
 the outermost <article> or <main> elements, or without any the whole body.
 
-Inside an article a paragraph stays however often the host repeats it: the article's own
-words are never taken for template.
+Inside an article subtrees are counted apart: a block that recurs in half of a host's
+differing articles, and in three of them, is the site's (share bars, adverts, notices in any
+language) and goes too. What fewer articles repeat is their own words and stays, and so do
+inline elements, headings, list items and table cells that recur by themselves. Copies of an
+article on a host count once, so an article isn't its own template.
 
 Character references are decoded, white space within a block becomes one space, blocks
 are trimmed and joined in page order by one space.
@@ -31,10 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm._text import map_arrow
+from cinderlog.llm._text import cut, map_arrow
 
 #: A subtree is template if it occurs on this many pages of a host, and this share of them.
 LEAST_PAGES, LEAST_SHARE = 3, 0.01
+#: Inside articles: this many differing articles of a host, and this share of them.
+LEAST_ARTICLES, LEAST_ARTICLE_SHARE = 3, 0.5
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
@@ -44,6 +49,10 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _DROPPED = frozenset("head script style noscript template nav aside footer form iframe svg canvas object embed button select option textarea dialog menu title".split())
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Parts of an article's own text that recur by themselves (section titles, table labels).
+_PARTS = _INLINE | _VOID | frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption".split())
+#: Tells a subtree's hash inside an article from the same subtree's outside.
+_INSIDE = 0x5BD1E9955BD1E995
 _ROLES = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside cookie cookies consent notice notices banner ad ads advert adverts advertisement sponsor sponsored promo promotion "
     "share sharing social comment comments respond disqus breadcrumb breadcrumbs related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager skip widget toolbar".split()
@@ -179,12 +188,35 @@ def candidates(root: Node) -> set[int]:
     return out
 
 
+def inner_candidates(root: Node) -> tuple[set[int], int]:
+    """Hashes of the blocks inside the page's articles that may be template, and the articles' own hash."""
+    regions = [x for x in _regions(root) if x is not root]
+    if not regions:
+        return set(), 0
+    own, kept = hashes(root), {id(x) for x in regions}
+    out: set[int] = set()
+    todo = list(regions)
+    while todo:
+        for x in todo.pop().children:
+            if not isinstance(x, str) and not x.dropped and id(x) not in kept:
+                if x.tag not in _PARTS:
+                    out.add(own[id(x)] ^ _INSIDE)
+                todo.append(x)
+    return out, xxhash.xxh3_64_intdigest(b"".join(own[id(x)].to_bytes(8, "little") for x in regions))
+
+
 def main_text(root: Node, template: set[int]) -> str:
     """The text of the article without template subtrees and without what its role rules out."""
     regions = _regions(root)
     kept = {id(x) for x in regions}
     own = hashes(root) if template else {}
     body = regions == [root]
+
+    def recurs(node: Node) -> bool:
+        if body:
+            return node is not root and own.get(id(node)) in template
+        return id(node) not in kept and node.tag not in _PARTS and own.get(id(node), 0) ^ _INSIDE in template
+
     blocks: list[str] = []
     line: list[str] = []
 
@@ -202,7 +234,7 @@ def main_text(root: Node, template: set[int]) -> str:
             flush()
         elif isinstance(node, str):
             line.append(node)
-        elif node.dropped and id(node) not in kept or body and node is not root and own.get(id(node)) in template:
+        elif node.dropped and id(node) not in kept or template and recurs(node):
             if node.tag not in _INLINE:
                 flush()
         else:
@@ -220,24 +252,48 @@ def _host(url: str | None) -> str:
     return m[1].lower() if m else url or ""
 
 
+def _host_key(url: str | None) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(_host(url)))
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
 
-    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """What may be template, with the article it stands in; a row without subtree for each page and article."""
+        for batch in batches:
+            hosts, found, articles = [], [], []
+            for url, html in zip(*(batch.column(x).to_pylist() for x in ("url", "html")), strict=True):
+                root = parse(html)
+                inner, article = inner_candidates(root)
+                rows = [(h, None) for h in (None, *candidates(root))] + [(h, _signed(article)) for h in (None, *inner) if article]
+                hosts += [_host_key(url)] * len(rows)
+                found += [None if h is None else _signed(h) for h, _ in rows]
+                articles += [x for _, x in rows]
+            yield {"host": hosts, "subtree": found, "article": articles}
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """The subtrees of each page that its text would leave out."""
         for batch in batches:
             ids, hosts, found = [], [], []
             for i, url, html in zip(*(batch.column(x).to_pylist() for x in ("page_id", "url", "html")), strict=True):
-                for h in candidates(parse(html)):
-                    ids.append(i)
-                    hosts.append(_host(url))
-                    found.append(h - (1 << 63))
+                root = parse(html)
+                some = candidates(root) if _regions(root) == [root] else inner_candidates(root)[0]
+                ids += [i] * len(some)
+                hosts += [_host_key(url)] * len(some)
+                found += [_signed(h) for h in some]
             yield {"page_id": ids, "host": hosts, "subtree": found}
 
-    seen = map_arrow(pages, subtrees, "page_id long, host string, subtree long")
-    per_host = seen.groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    hosts = map_arrow(pages.select("url"), _hosts, "host string").groupBy("host").agg(F.count("*").alias("pages"))
-    template = per_host.where(F.col("n") >= LEAST_PAGES).join(hosts, "host").where(F.col("n") >= F.col("pages") * LEAST_SHARE).select("host", "subtree")
+    places = map_arrow(pages.select("url", "html"), counted, "host long, subtree long, article long").groupBy("host", "subtree", "article").agg(F.count("*").alias("n"))
+    # a page counts for the subtrees outside of its article, a differing article for those inside
+    n = F.sum(F.when(F.col("article").isNull(), F.col("n")).otherwise(1))
+    # kept once, so pages aren't parsed again for the totals
+    per_host = cut(places.groupBy("host", "subtree", F.col("article").isNotNull().alias("inside")).agg(n.alias("n")).where((F.col("n") >= min(LEAST_PAGES, LEAST_ARTICLES)) | F.col("subtree").isNull()))
+    totals = per_host.where("subtree IS NULL").select("host", "inside", F.col("n").alias("total"))
+    least = F.when(F.col("inside"), F.greatest(F.lit(float(LEAST_ARTICLES)), F.col("total") * LEAST_ARTICLE_SHARE)).otherwise(F.greatest(F.lit(float(LEAST_PAGES)), F.col("total") * LEAST_SHARE))
+    template = per_host.where("subtree IS NOT NULL").join(totals, ["host", "inside"]).where(F.col("n") >= least).select("host", "subtree")
+    seen = map_arrow(pages, wanted, "page_id long, host long, subtree long")
     marked = seen.join(template, ["host", "subtree"]).groupBy("page_id").agg(F.collect_set("subtree").alias("template"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -249,6 +305,5 @@ def extract(pages: DataFrame) -> DataFrame:
     return map_arrow(joined, run, "page_id long, url string, text string, n_chars long")
 
 
-def _hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield {"host": [_host(x) for x in batch.column("url").to_pylist()]}
+def _signed(h: int) -> int:
+    return h - (1 << 63)

@@ -48,6 +48,19 @@ def test_extract(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_site_blocks_inside_articles_go(spark):
+    """Blocks that recur in a host's articles, without a name that tells their role; the articles' own words stay."""
+    share = '<div class="teilen"><p>Beitrag teilen</p></div>'
+    page = "<body><article>{share}<h2>Zutaten</h2><p>own {i} <b>Tip</b></p>{more}</article></body>"
+    rows = [(i, f"https://a.example/{i}", page.format(share=share, i=i, more="<p>quoted by two</p>" if i < 2 else "")) for i in range(6)]
+    rows += [(20 + i, f"https://b.example/{i}", page.format(share=share, i="copied", more="")) for i in range(5)]  # one article five times
+    rows += [(30, "https://c.example/", page.format(share=share, i=30, more=""))]
+    found = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [found[i] for i in range(6)] == [f"Zutaten own {i} Tip" + " quoted by two" * (i < 2) for i in range(6)]
+    assert {found[20 + i] for i in range(5)} == {"Beitrag teilen Zutaten own copied Tip"}
+    assert found[30] == "Beitrag teilen Zutaten own 30 Tip"
+
+
 def test_the_test_tables(spark):
     import re
     from html import unescape
