@@ -5,6 +5,14 @@ where a chunk ends, so inserted or deleted lines move few boundaries. Chunks of
 two lines that occur again anywhere in the corpus are removed, but for the first
 occurrence (smallest doc_id, then place), after their bytes were compared with it.
 
+With `extend`, what a chunk's boundaries leave of a passage goes too: chunks at a passage's
+ends are glued to lines that differ, so every two neighbouring lines that have a word (and
+the blank ones between them), and every line of LONG_WORDS words, are compared by 128-bit
+digests over the corpus, and all lines go that such a piece repeats from an earlier place.
+So a passage of two lines or more goes whole whatever surrounds it. The first place of a line
+is never removed, as nothing precedes it; no line is lost from the corpus. Places within a
+document count as well.
+
 Digests are counted first; only texts that have a repeated chunk hand on those chunks'
 bytes. Counting adds up before the shuffle and a frequent chunk's rows may be split by
 the joins, so no task gathers all occurrences.
@@ -12,8 +20,8 @@ the joins, so no task gathers all occurrences.
 Cases: null text is empty and keeps nothing to remove; a null doc_id comes after all
 others; rows that repeat a doc_id are told apart by their text's hash; rows that repeat
 both count as copies of each other, all but one lose their repeated chunks; chunks
-without a word are never removed; one line alone is never removed; an empty table gives
-an empty result; texts are read whole; other columns are ignored.
+without a word are never removed; one line alone is never removed, but for long ones with
+`extend`; an empty table gives an empty result; texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +39,9 @@ from cinderlog.llm._text import cut, map_arrow
 LEAST_LINES, MOST_LINES = 2, 32
 #: A boundary follows one line in this many, on average.
 EVERY = 3
+#: With extend, a single line of this many words is compared by itself.
+LONG_WORDS = 50
+_BLANK = b" \t\n\r\x0b\x0c"
 
 
 def chunks(text: bytes) -> list[tuple[int, int]]:
@@ -57,6 +68,20 @@ def _chunk_bytes(text: bytes) -> Iterator[tuple[int, int, bytes]]:
             yield i, b - a, part
 
 
+def pieces(text: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(first, end, digest) of neighbouring lines that have words, and of single long lines."""
+    lines = text.split(b"\n")
+    before = None
+    for i, line in enumerate(lines):
+        if not line.strip(_BLANK):
+            continue
+        if len(line) >= 2 * LONG_WORDS - 1 and len(line.split()) >= LONG_WORDS:
+            yield i, i + 1, hashlib.blake2b(line, digest_size=16).digest()
+        if before is not None:
+            yield before, i + 1, hashlib.blake2b(b"\n".join(lines[before : i + 1]), digest_size=16).digest()
+        before = i
+
+
 def _rows(documents: DataFrame) -> DataFrame:
     """doc_id, text and a row key that tells rows of a doc_id apart by text and number."""
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -100,10 +125,34 @@ def removed_chunks(documents: DataFrame) -> DataFrame:
     return parts.where("NOT is_first").join(originals, "digest").where("part = original").select("doc_id", "mark", "chunk").distinct()
 
 
-def clean(documents: DataFrame, with_text: bool = True) -> DataFrame:
-    """doc_id, n_lines, n_removed_lines, n_removed_bytes, text_sha256 (and text) of every row."""
+def repeated_pieces(documents: DataFrame) -> DataFrame:
+    """(doc_id, mark, start, stop) of the lines of pieces that an earlier place has."""
+
+    def meta(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            out: dict[str, list] = {"doc_id": [], "mark": [], "start": [], "stop": [], "digest": []}
+            for doc_id, mark, text in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "mark", "text")), strict=True):
+                for first, end, digest in pieces(text.encode()):
+                    for name, value in zip(out, (doc_id, mark, first, end, digest), strict=True):
+                        out[name].append(value)
+            yield out
+
+    found = cut(map_arrow(_rows(documents), meta, "doc_id long, mark long, start int, stop int, digest binary"))
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "mark", "start")
+    repeated = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    return found.join(repeated, "digest").where(place != F.col("first")).select("doc_id", "mark", "start", "stop")
+
+
+def clean(documents: DataFrame, with_text: bool = True, extend: bool = False) -> DataFrame:
+    """doc_id, n_lines, n_removed_lines, n_removed_bytes, text_sha256 (and text) of every row.
+
+    extend: passages go whole, not by whole chunks only.
+    """
     rows = _rows(documents)
-    gone = removed_chunks(documents).groupBy("doc_id", "mark").agg(F.collect_set("chunk").alias("gone"))
+    gone = removed_chunks(documents).select("doc_id", "mark", "chunk", F.lit(None).cast("int").alias("stop"))
+    if extend:
+        gone = gone.unionByName(repeated_pieces(documents).withColumnRenamed("start", "chunk"))
+    gone = gone.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("chunk", "stop")).alias("gone"))
     gone = gone.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
     joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("doc_id", "text", "gone")
 
@@ -115,10 +164,14 @@ def clean(documents: DataFrame, with_text: bool = True) -> DataFrame:
                 n = data.count(b"\n") + 1 if data else 0
                 kept, left = n, data
                 if some:
-                    lines, out_lines, numbers = data.split(b"\n"), [], set(some)
-                    for i, (a, b) in enumerate(chunks(data)):
-                        if i not in numbers:
-                            out_lines += lines[a:b]
+                    numbers, dropped = {x["chunk"] for x in some if x["stop"] is None}, set()
+                    for i, (a, b) in enumerate(chunks(data) if numbers else ()):
+                        if i in numbers:
+                            dropped.update(range(a, b))
+                    for x in some:
+                        if x["stop"] is not None:
+                            dropped.update(range(x["chunk"], x["stop"]))
+                    out_lines = [x for i, x in enumerate(data.split(b"\n")) if i not in dropped]
                     kept, left = len(out_lines), b"\n".join(out_lines)
                 for name, value in zip(out, (doc_id, n, n - kept, len(data) - len(left), hashlib.sha256(left).hexdigest(), left.decode() if with_text else None), strict=True):
                     out[name].append(value)

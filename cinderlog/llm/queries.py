@@ -28,7 +28,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.clean(table(spark, sf_dir, "documents"), with_text=False)
+    return line_dedup.clean(table(spark, sf_dir, "documents"), with_text=False, extend=True)
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

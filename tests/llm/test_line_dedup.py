@@ -52,6 +52,32 @@ def test_equals_brute_force(spark):
     assert any(r.n_removed_lines for r in found.values())
 
 
+def test_passages_go_whole_whatever_surrounds_them(spark):
+    rng = random.Random(5)
+    passages = [[f"p{i} line {j} {rng.random()}" for j in range(n)] for i, n in enumerate([2, 2, 3, 3, 4, 5, 6, 8, 12, 40])]
+    passages[4].insert(2, "")
+    long_line = " ".join(f"w{j}" for j in range(60))
+    own = lambda k: [f"own {rng.random()}" for _ in range(k)]
+    rows, want = [], {}
+    for i, p in enumerate([*passages, [long_line]]):
+        rows.append((i, "\n".join([*own(i % 3 + 1), *p, *own(2)])))
+        want[i] = rows[-1][1]
+    for i in range(80):
+        head, tail = own(rng.randrange(1, 5)), own(rng.randrange(1, 5))
+        rows.append((100 + i, "\n".join([*head, *rng.choice([*passages, [long_line]]), *tail])))
+        want[100 + i] = "\n".join([*head, *tail])
+    rows += [(300, "short line"), (301, "short line"), (302, None), (None, "\n\n")]
+    want |= {300: "short line", 301: "short line", 302: "", None: "\n\n"}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.text for r in line_dedup.clean(df, extend=True).collect()} == want
+    assert any(r.text != want[r.doc_id] for r in line_dedup.clean(df).collect())  # chunks alone leave ends
+
+
 def test_odd_documents(odd_documents, no_documents):
     assert line_dedup.clean(odd_documents).count() == odd_documents.count()
     assert line_dedup.clean(no_documents).count() == 0
+
+
+def test_odd_documents_with_extend(odd_documents, no_documents):
+    assert line_dedup.clean(odd_documents, extend=True).count() == odd_documents.count()
+    assert line_dedup.clean(no_documents, extend=True).count() == 0
