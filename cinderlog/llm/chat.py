@@ -1,11 +1,15 @@
 """Quotation linking in conversations, with DataFrame functions alone.
 
 Lines that begin with > are quotes, as deep as they have >. Neighbouring lines of a depth
-are a passage. Passages and messages' own lines are normalised (case, white space) and
-hashed; a quoted line points to the latest earlier message of its conversation that has
-the same line, and a message replies to the one to which most of its quoted lines of
-depth 1 point, the latest of equals. A message without such a quote follows the one
-before it. A message that quotes another than the one before it starts a branch; in reply
+are a passage. Passages, their sentences and their lines are normalised (case, white space,
+line breaks as well) and hashed, at every depth. A quoted line points to the latest earlier
+message of its conversation that has its whole passage, else one of the sentences it
+belongs to or the line itself: so re-wrapped quotes link as well as trimmed ones. A message
+has its own words at depth 0 and what it quotes one level less deep than a reply to it
+does. Lines of depth 1 point to own words. Deeper ones point to a message that has them a
+level less deep, else to one whose own words they are. A message replies to the one to
+which most of its quoted lines of the least depth that points anywhere do, the latest of
+equals. A message without such a quote follows the one before it. A message that quotes another than the one before it starts a branch; in reply
 order a branch's messages stand together, after those that went on where it left.
 
 The latest earlier message is found by a window over (conversation, line), split in
@@ -59,6 +63,28 @@ def passages(lines: Column) -> Column:
     return F.aggregate(lines, empty, add)
 
 
+def keys_of(lines: Column) -> Column:
+    """array<struct<depth, key, rank, n>> of a text's lines: digests of passages (rank 2), their sentences (1) and lines (0).
+
+    n: quoted lines that the key stands for; a sentence's is its share of its passage's lines, a passage's all.
+    Ranks are of what a key means to a reply; equal keys of any rank match.
+    """
+    digest = lambda x: F.unhex(F.sha2(x, 256))
+    entry = lambda depth, text, passage, rank, n: F.struct(depth.alias("depth"), digest(text).alias("key"), passage.alias("passage"), F.lit(rank).alias("rank"), n.cast("double").alias("n"))
+
+    def of_passage(p: Column, i: Column) -> Column:
+        full = lambda xs: F.filter(F.transform(xs, normal), lambda x: x != "")
+        parts, sentences = full(F.split(p["text"], "\n")), full(F.split(normal(p["text"]), r"(?<=[.!?])\s+"))
+        whole = F.filter(F.array(normal(p["text"])), lambda x: x != "")
+        return F.concat(
+            F.transform(whole, lambda x: entry(p["depth"], x, i, 2, F.size(parts))),
+            F.transform(sentences, lambda x: entry(p["depth"], x, i, 1, F.size(parts) / F.size(sentences))),
+            F.transform(parts, lambda x: entry(p["depth"], x, i, 0, F.lit(1))),
+        )
+
+    return F.flatten(F.transform(passages(lines), of_passage))
+
+
 def _latest_before(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds `before`: the largest turn under the row's own among rows of the keys with has_it.
 
@@ -87,18 +113,30 @@ def link(conversations: DataFrame) -> DataFrame:
             F.trim(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit(" \t\r\n")).alias("text"),
             F.size(quoted).cast("long").alias("n_quoted_lines"),
             F.coalesce(F.array_max(F.transform("lines", lambda x: x["depth"])), F.lit(0)).alias("max_depth"),
-            _digests(own).alias("own"), _digests(F.filter("lines", lambda x: x["depth"] == 1)).alias("first_level"),
+            "lines",
         )
     )
     known = messages.where("conv_id IS NOT NULL AND turn IS NOT NULL")
-    spoken = known.select("conv_id", "turn", F.explode("own").alias("line")).distinct().withColumns({"has_it": F.lit(True), "k": F.lit(0).cast("long")})
-    asked = known.select("conv_id", "turn", F.explode("first_level").alias("line")).groupBy("conv_id", "turn", "line").agg(F.count("*").alias("k"))
+    # conversations without a quote need no keys
+    keyed = known.join(known.where("max_depth > 0").select("conv_id").distinct(), "conv_id", "left_semi")
+    keyed = cut(keyed.select("conv_id", "turn", "max_depth", keys_of(F.col("lines")).alias("keys"), keys_of(own).alias("own")))
+    said = keyed.select("conv_id", "turn", F.explode(F.concat("keys", "own")).alias("x")).select("conv_id", "turn", F.col("x.depth").alias("depth"), F.col("x.key").alias("line")).distinct()
+    quotes = keyed.where("max_depth > 0").select("conv_id", "turn", F.explode(F.filter("keys", lambda x: x["depth"] > 0)).alias("x")).select("conv_id", "turn", "x.*").withColumnRenamed("key", "line")
+    quotes = quotes.groupBy("conv_id", "turn", "depth", "passage", "rank", "line").agg(F.sum("n").alias("k"))
+    # a quote is looked for a level less deep, and deeper ones among own words too
+    asked = quotes.withColumn("at", F.explode(F.array_distinct(F.array(F.col("depth") - 1, F.lit(0))))).withColumn("has_it", F.lit(False))
     # lines that nobody quotes need no window
-    wanted = asked.select("conv_id", "line").distinct()
-    both = spoken.join(wanted, ["conv_id", "line"], "left_semi").select("conv_id", "turn", "line", "has_it", "k").unionByName(asked.withColumn("has_it", F.lit(False)).select("conv_id", "turn", "line", "has_it", "k"))
-    hits = _latest_before(both, ["conv_id", "line"]).where("NOT has_it AND before IS NOT NULL")
-    votes = hits.groupBy("conv_id", "turn", "before").agg(F.sum("k").alias("k"))
-    parents = votes.groupBy("conv_id", "turn").agg(F.max_by("before", F.struct("k", "before")).alias("quoted_turn"), F.sum("k").alias("n_linked_lines"))
+    wanted = asked.select("conv_id", "line", "at").distinct()
+    spoken = said.withColumnRenamed("depth", "at").join(wanted, ["conv_id", "line", "at"], "left_semi").withColumn("has_it", F.lit(True))
+    hits = _latest_before(spoken.unionByName(asked, allowMissingColumns=True), ["conv_id", "line", "at"]).where("NOT has_it AND before IS NOT NULL")
+    # the passage's own key goes before its sentences', these before its lines', and a level less deep before own words
+    best = hits.groupBy("conv_id", "turn", "depth", "passage", "rank", "line").agg(F.max_by(F.struct("before", "k"), "at").alias("x")).select("conv_id", "turn", "depth", "passage", "rank", "x.before", "x.k")
+    ranked = best.groupBy("conv_id", "turn", "depth", "passage", "rank", "before").agg(F.sum("k").alias("k"))
+    sums = ranked.groupBy("conv_id", "turn", "depth", "passage", "rank").agg(F.sum("k").alias("linked"), F.collect_list(F.struct("before", "k")).alias("to"))
+    # a trimmed or re-wrapped passage: the key that links more of its lines
+    chosen = sums.groupBy("conv_id", "turn", "depth", "passage").agg(F.max_by(F.struct("linked", "to"), F.struct((F.col("rank") == 2).alias("whole"), "linked", -F.col("rank"))).alias("x"))
+    votes = chosen.select("conv_id", "turn", "depth", "x.linked", F.explode("x.to").alias("v")).groupBy("conv_id", "turn", "depth", F.col("v.before").alias("before")).agg(F.sum("v.k").alias("k"))
+    parents = votes.groupBy("conv_id", "turn").agg(F.max_by("before", F.struct(-F.col("depth"), "k", "before")).alias("quoted_turn"), F.ceil(F.round(F.sum("k"), 6)).cast("long").alias("n_linked_lines"))
     turns = known.select("conv_id", "turn").distinct().withColumn("has_it", F.lit(True))
     follows = _latest_before(turns, ["conv_id"]).select("conv_id", "turn", "before")
     linked = follows.join(parents, ["conv_id", "turn"], "left").select(
@@ -113,11 +151,6 @@ def link(conversations: DataFrame) -> DataFrame:
     )
 
 
-def _digests(lines: Column) -> Column:
-    """SHA-256 of the normalised lines that aren't empty."""
-    return F.transform(F.filter(F.transform(lines, lambda x: normal(x["line"])), lambda x: x != ""), lambda x: F.unhex(F.sha2(x, 256)))
-
-
 def _paths(linked: DataFrame) -> DataFrame:
     """Adds reply_path, which sorts a conversation's messages as a walk through its replies.
 

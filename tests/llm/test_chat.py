@@ -72,3 +72,15 @@ def test_passages(spark):
     df = spark.createDataFrame([("a\nb\n> c\n>d\n>> e\nf",), (None,)], "t string").select(chat.passages(chat.lines_of("t" and __import__("pyspark.sql.functions", fromlist=["x"]).col("t"))).alias("p"))
     first = df.first().p
     assert [(x.depth, x.text) for x in first] == [(0, "a\nb"), (1, "c\nd"), (2, "e"), (0, "f")]
+
+
+def test_levels_and_wrapped_passages(spark):
+    first = "The first message is long enough to be wrapped.\nIt has two sentences on two lines."
+    rows = [
+        (1, 0, "u", first), (1, 1, "a", "> The first message is long\n> enough to be wrapped. It has two\n> sentences on two lines.\nAn answer"), (1, 2, "u", "Something else"),
+        (1, 3, "a", "> The first message is\n> long enough to be wrapped.\nre-wrapped and trimmed"), (1, 4, "u", "Yet another"), (1, 5, "a", ">> Something\n>> ELSE\nonly the second level, which nobody quoted"),
+        (1, 6, "u", "> Yet another\nquoting"), (1, 7, "a", "more"), (1, 8, "u", ">> Yet another\nto the message that quoted it"), (1, 9, "a", "> quoting\n>> Yet another\n>>> no one said this\nboth"), (1, 10, "u", ">>> Yet\n>>> another\nthird level"),
+    ]
+    found = {r.turn: r for r in chat.link(spark.createDataFrame(rows, DDL)).collect()}
+    assert [found[i].parent_turn for i in range(11)] == [None, 0, 1, 0, 3, 2, 4, 6, 6, 6, 9]
+    assert [found[i].n_linked_lines for i in range(11)] == [0, 3, 0, 2, 0, 2, 1, 0, 1, 2, 2]
