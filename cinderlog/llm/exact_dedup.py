@@ -5,11 +5,13 @@ made one space. Every task keeps an index of the digests it has met: a cuckoo fi
 answers most misses, a hit is verified against the full digests kept in the filter's
 buckets, and an overflow rebuilds a filter of twice the size from those stored keys.
 Tasks first collapse their own rows, so a digest that holds a third of all rows reaches
-the shuffle once a task; then the digests of each shuffle partition are indexed.
+the shuffle once an index; then the digests of each shuffle partition are indexed in order,
+a bounded slice at a time.
 
 Cases: null text counts as empty, and empty texts are equal to each other; a null doc_id
 never stays if the group has another and is null as keep_id if it hasn't; rows that
-repeat a doc_id and a text all carry that group's values; an empty table gives an empty
+repeat a doc_id and a text all carry that group's values, and drop_copies lets one of
+them stay; rows that share a doc_id but no text are judged apart; an empty table gives an empty
 result; texts are read whole; other columns are ignored.
 """
 
@@ -28,7 +30,7 @@ from cinderlog.llm._text import cut, docs_of, map_arrow, text_bytes
 
 SLOTS = 4
 KICKS = 200
-#: Digests that a task collapses before it hands them on: about 60 MB.
+#: Digests in an index at most, before a task hands them on: about 60 MB.
 FLUSH = 200_000
 _RUNS = re.compile(b"[\x20\x09-\x0d]+")
 
@@ -151,8 +153,11 @@ def _smallest(a: int | None, b: int | None) -> int | None:
     return b if a is None else a if b is None else min(a, b)
 
 
-def _collapse(rows: DataFrame, flush: int | None) -> DataFrame:
-    """(digest, keep_id, n): rows of a task with equal digests made one, through an index."""
+def _collapse(rows: DataFrame, in_order: bool = False) -> DataFrame:
+    """(digest, keep_id, n): rows of a task with equal digests made one, through an index of at most FLUSH digests.
+
+    in_order: rows come sorted by digest, so no digest is in two indexes, however many a task has.
+    """
 
     def out(index: DigestIndex) -> dict:
         items = list(index.items())
@@ -160,13 +165,15 @@ def _collapse(rows: DataFrame, flush: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         index = DigestIndex()
+        last = None
         for batch in batches:
             for digest, i, n in zip(*(batch.column(x).to_pylist() for x in ("digest", "keep_id", "n")), strict=True):
+                if index.size >= FLUSH and not (in_order and digest == last):
+                    yield out(index)
+                    index = DigestIndex()
                 found = index.get(digest)
                 index.set(digest, (i, n) if found is None else (_smallest(found[0], i), found[1] + n))
-            if flush and index.size > flush:
-                yield out(index)
-                index = DigestIndex()
+                last = digest
         yield out(index)
 
     return map_arrow(rows, run, "digest binary, keep_id long, n long")
@@ -175,14 +182,20 @@ def _collapse(rows: DataFrame, flush: int | None) -> DataFrame:
 def exact_groups(documents: DataFrame) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     rows = cut(digests(documents))
-    local = _collapse(rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")), FLUSH)
-    groups = _collapse(local.repartition("digest"), None)
+    local = _collapse(rows.select("digest", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n")))
+    groups = _collapse(local.repartition("digest").sortWithinPartitions("digest"), True)
     return rows.join(groups, "digest").select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def drop_copies(documents: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
-    kept = exact_groups(documents).where("kept").select(F.col("doc_id").alias("__id"))
-    return documents.join(kept.distinct(), documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each group of equal texts, with all its columns: of rows with the smallest doc_id, one."""
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
+    kept = exact_groups(documents).where("kept").groupBy(F.col("text_sha256").alias("__digest"), F.col("doc_id").alias("__id"))
+    kept = cut(kept.agg(F.count("*").alias("__n")))
+    marked = documents.withColumn("__own", digest)
+    stay = (F.col("__own") == F.col("__digest")) & marked["doc_id"].eqNullSafe(F.col("__id"))
+    once = marked.join(kept.where("__n = 1"), stay, "left_semi")
+    repeated = marked.join(kept.where("__n > 1"), stay, "left_semi")
+    return once.unionByName(repeated.dropDuplicates(["__own"])).drop("__own")

@@ -14,8 +14,11 @@ upper corner bounds the overlap with all points in it.
    in groups of bounded size. Each group is indexed by an R-tree of its points; pairs that
    survive the bound are verified with the whole sets, those already connected skipped.
 4. What remains are keys whose sets lie in different components: their points meet in
-   tiles of bounded size, again by R-tree; surviving pairs are held against points of 512
-   groups, then verified. So no link between different texts is lost.
+   tiles of bounded size, again by R-tree, and survivors of its bound are held against finer
+   points, with about a group for each n-gram. A tile hands on rows that have a survivor in
+   another component, never pairs. Their whole sets meet in the same tile once more, where
+   pairs are verified; what is already connected is skipped, so a tile of n rows gives at
+   most n - 1 links. So no link between different texts is lost.
 
 Cases: texts without words are linked with nothing and have 0 n-grams; texts with fewer
 words than n have one n-gram, the whole sequence; null text is empty; rows with a null
@@ -40,11 +43,11 @@ from cinderlog.llm._text import cut, docs_of, map_arrow, mix, text_bytes, window
 from cinderlog.llm.components import components
 
 GROUPS = 64
-#: Groups of the second, finer points that pairs are held against before sets are sent to them.
-FINE_GROUPS = 512
 LEAF = 32
-#: N-grams in a group of step 3 and points in a tile of step 4, about.
-GROUP_GRAMS, TILE_POINTS = 1_000_000, 1024
+#: N-grams and sets in a group of step 3, about.
+GROUP_GRAMS, GROUP_SETS = 1_000_000, 512
+#: Load of a side of a tile of step 4, about; a set of n n-grams is a load of SET_LOAD + n.
+TILE_LOAD, SET_LOAD = 1 << 20, 1024
 
 
 def gram_sets(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
@@ -63,8 +66,12 @@ class Threshold:
     """Links by den * intersection >= num * union, in whole numbers."""
 
     def __init__(self, num: int, den: int) -> None:
+        if not 0 < num <= den:
+            raise ValueError("the similarity must be over 0 and at most 1")
         self.num, self.den = num, den
-        steps = max(1, round(np.log(0.65) / np.log(num / den))) if num < den else 1
+        if num == den:  # equal sets: every size is an interval of its own
+            return
+        steps = max(1, round(np.log(0.65) / np.log(num / den)))
         self.edges = [1]
         while self.edges[-1] < 1 << 40:
             self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * (den / num) ** steps)))
@@ -79,6 +86,8 @@ class Threshold:
     @lru_cache(maxsize=100_000)  # noqa: B019
     def filings(self, n: int) -> tuple[tuple[int, int, int], ...]:
         """(interval, ranges, spare) under which a set of n is filed."""
+        if self.num == self.den:
+            return ((n, 1, 0),)
         i = int(np.searchsorted(self.edges, n, "right")) - 1
         out = [(2 * i, *self._ranges(self.edges[i], self.edges[i + 1] - 1, self.edges[i + 1] - 1))]
         for k in (i, i + 1):  # pairs across the edge: one below it, one not
@@ -155,24 +164,64 @@ def _box_labels(tree: RTree, label: np.ndarray) -> np.ndarray:
     return np.array([label[x[0]] if (label[x] == label[x[0]]).all() else -1 for x in tree.leaves])
 
 
-def linked_in(sets: list[np.ndarray], threshold: Threshold) -> np.ndarray:
-    """For each set the first one that it is connected with by links among these sets."""
-    label = np.arange(len(sets))
+def links_in(sets: list[np.ndarray], threshold: Threshold, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all sets that links among these connect; at most one less than there are sets.
+
+    label: what is connected already, as numbers of its components.
+    """
+    label = np.arange(len(sets)) if label is None else label.copy()
     sizes, counts = np.array([len(x) for x in sets]), points(sets)
     tree = RTree(counts, sizes)
     boxes = _box_labels(tree, label)
+    links = []
     for i in range(len(sets)):
         found = tree.search(counts[i], sizes[i], threshold, label, label[i], boxes)
         found = found[found < i]
-        joined = False
+        before = len(links)
         for j in found[np.argsort(np.minimum(counts[found], counts[i]).sum(1))[::-1]]:
             if label[j] != label[i] and _same(sets[i], sets[j], threshold):
                 low, high = sorted((label[i], label[j]))
                 label[label == high] = low
-                joined = True
-        if joined:
+                links.append((i, int(j)))
+        if len(links) > before:
             boxes = _box_labels(tree, label)
-    return label
+    return links
+
+
+def fine_groups(n: int) -> int:
+    """Groups of the finer point of a set of n: a power of two, about one for each n-gram."""
+    return max(GROUPS, 1 << max(0, n.bit_length() - 1))
+
+
+def pack_point(counts: np.ndarray) -> bytes:
+    """A point's bytes: one for each group, or four where a count is over 255."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else "<u4").tobytes()
+
+
+def unpack_points(data: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Points of sets of these sizes, all with as many groups as the one with the fewest."""
+    groups = min(fine_groups(int(n)) for n in sizes)
+    out = np.empty((len(data), groups), np.int32)
+    for i, (x, n) in enumerate(zip(data, sizes.tolist(), strict=True)):
+        own = fine_groups(n)
+        out[i] = np.frombuffer(x, np.uint8 if len(x) == own else "<u4").reshape(groups, -1).sum(1, dtype=np.int32)
+    return out
+
+
+def survivors(counts: np.ndarray, sizes: np.ndarray, label: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """Which rows have another, in another component, that their points don't rule out as a link."""
+    coarse = counts.reshape(len(counts), GROUPS, -1).sum(2, dtype=np.int32)
+    tree = RTree(coarse, sizes)
+    boxes = _box_labels(tree, label)
+    out = np.zeros(len(counts), bool)
+    for i in range(len(counts)):
+        found = tree.search(coarse[i], int(sizes[i]), threshold, label, label[i], boxes)
+        found = found[found < i]
+        if len(found):
+            good = found[np.minimum(counts[found], counts[i]).sum(1) >= threshold.overlap(int(sizes[i]), sizes[found])]
+            out[good] = True
+            out[i] |= len(good) > 0
+    return out
 
 
 def _same(a: np.ndarray, b: np.ndarray, threshold: Threshold) -> bool:
@@ -269,7 +318,7 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
     active = cut(led)
     whole = map_arrow(docs.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), _sets(size), "rep long, grams binary")
     sets = cut(whole)
-    load = active.groupBy("leader").agg(F.ceil(F.sum("n") / GROUP_GRAMS).cast("int").alias("parts"))
+    load = active.groupBy("leader").agg(F.ceil(F.greatest(F.sum("n") / GROUP_GRAMS, F.count("*") / GROUP_SETS)).cast("int").alias("parts"))
     members = active.join(load, "leader").select("rep", "leader", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
     heads = load.select(F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     placed = members.where("rep != leader").unionByName(heads).join(sets, "rep")
@@ -278,19 +327,18 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
         for table in _streams(batches, ["leader", "part"]):
             if table.num_rows > 1:
                 ids = np.array(table.column("rep").to_pylist(), np.int64)
-                label = linked_in(_grams(table.column("grams")), threshold)
-                tied = label != np.arange(len(label))
-                yield {"u": ids[tied], "v": ids[label[tied]]}
+                found = np.array(links_in(_grams(table.column("grams")), threshold), np.int64).reshape(-1, 2)
+                yield {"u": ids[found[:, 0]], "v": ids[found[:, 1]]}
 
     links = map_arrow(placed.repartition("leader", "part").sortWithinPartitions("leader", "part", "rep"), groups, "u long, v long")
     first = components(links)
 
     # step 4: keys whose sets lie in different components
-    member = cut(sets.select("rep").join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component")))
-    known = shared.select("key", "rep").join(member, "rep")
-    by_component = known.groupBy("key", "component").agg(F.count("*").alias("k"))
+    member = cut(active.select("rep", "n").join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("component")))
+    known = shared.select("key", "rep").join(member, "rep").withColumn("load", SET_LOAD + F.col("n"))
+    by_component = known.groupBy("key", "component").agg(F.sum("load").alias("k"))
     open_keys = by_component.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1")
-    tiles = open_keys.select("key", "main", F.ceil(F.col("most") / TILE_POINTS).cast("int").alias("a"), F.ceil((F.col("rows") - F.col("most")) / TILE_POINTS).cast("int").alias("b"))
+    tiles = open_keys.select("key", "main", F.ceil(F.col("most") / TILE_LOAD).cast("int").alias("a"), F.greatest(F.lit(1), F.ceil((F.col("rows") - F.col("most")) / TILE_LOAD)).cast("int").alias("b"))
     open_rows = known.join(tiles, "key")
     hashed = F.xxhash64("rep")
     of_main = open_rows.where("component = main").select("key", "rep", "component", F.pmod(hashed, F.col("a")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("j"))
@@ -300,48 +348,29 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
     others = of_rest.where("b > 1").select("key", "rep", "component", "own", F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("k")).where("k != own")
     with_rest = others.select("key", "rep", "component", (-1 - F.least("own", "k")).alias("i"), F.greatest("own", "k").alias("j"))
     meet = of_main.unionByName(with_main).unionByName(with_rest)
-    vectors = map_arrow(sets, _vectors(GROUPS), "rep long, point binary")
+    vectors = map_arrow(sets, _vectors, "rep long, n long, point binary")
     meet = meet.join(vectors, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
-    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        """The tile's rows that may link with another component's."""
         for table in _streams(batches, ["key", "i", "j"]):
-            if table.num_rows < 2:
-                continue
-            ids, own = (np.array(table.column(x).to_pylist(), np.int64) for x in ("rep", "component"))
-            counts = np.stack([np.frombuffer(x, "<u4") for x in table.column("point").to_pylist()]).astype(np.int32)
-            tree = RTree(counts, counts.sum(1))
-            boxes = _box_labels(tree, own)
-            u, v = [], []
-            for i in range(len(ids)):
-                found = tree.search(counts[i], int(counts[i].sum()), threshold, own, own[i], boxes)
-                found = found[ids[found] < ids[i]]
-                u += [int(ids[i])] * len(found)
-                v += ids[found].tolist()
-            if u:
-                yield {"u": u, "v": v}
-
-    pairs = cut(map_arrow(meet, cross, "u long, v long").distinct())
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Pairs whose finer points still allow a link."""
-        for batch in batches:
-            a, b = (np.stack([np.frombuffer(x, "<u4") for x in batch.column(c).to_pylist()]) if batch.num_rows else np.empty((0, FINE_GROUPS), "<u4") for c in ("a", "b"))
-            good = np.minimum(a, b).sum(1) >= threshold.overlap(a.sum(1).astype(np.int64), b.sum(1).astype(np.int64))
-            yield {"u": batch.column("u").to_numpy()[good], "v": batch.column("v").to_numpy()[good]}
+            if table.num_rows > 1:
+                sizes = table.column("n").to_numpy()
+                good = survivors(unpack_points(table.column("point").to_pylist(), sizes), sizes, table.column("component").to_numpy(), threshold)
+                table = table.filter(pa.array(good))
+                if table.num_rows:
+                    yield {x: table.column(x) for x in ("rep", "component", "key", "i", "j")}
 
-    fine = map_arrow(sets, _vectors(FINE_GROUPS), "rep long, point binary")
-    pairs = pairs.join(fine.select(F.col("rep").alias("u"), F.col("point").alias("a")), "u").join(fine.select(F.col("rep").alias("v"), F.col("point").alias("b")), "v")
-    pairs = cut(map_arrow(pairs.select("u", "v", "a", "b"), close, "u long, v long"))
+    left = cut(map_arrow(meet, near, "rep long, component long, key long, i int, j int"))
+    whole = left.join(sets, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            good = np.array([_same(a, b, threshold) for a, b in zip(_grams(batch.column("a")), _grams(batch.column("b")), strict=True)], bool)
-            yield {"u": batch.column("cu").to_numpy()[good], "v": batch.column("cv").to_numpy()[good]}
+        for table in _streams(batches, ["key", "i", "j"]):
+            own = table.column("component").to_numpy()
+            found = np.array(links_in(_grams(table.column("grams")), threshold, np.unique(own, return_inverse=True)[1]), np.int64).reshape(-1, 2)
+            yield {"u": own[found[:, 0]], "v": own[found[:, 1]]}
 
-    own = sets.join(member, "rep")
-    one = own.select(F.col("rep").alias("u"), F.col("component").alias("cu"), F.col("grams").alias("a"))
-    two = own.select(F.col("rep").alias("v"), F.col("component").alias("cv"), F.col("grams").alias("b"))
-    more = components(map_arrow(pairs.join(one, "u").join(two, "v").select("cu", "cv", "a", "b"), verify, "u long, v long"))
+    more = components(map_arrow(whole, verify, "u long, v long"))
 
     joined = member.select("rep", "component").join(more.select(F.col("id").alias("component"), F.col("component").alias("merged")), "component", "left")
     final = classes.join(joined.select("rep", F.coalesce("merged", "component").alias("component_id")), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
@@ -359,19 +388,22 @@ def _sets(size: int):  # noqa: ANN202
     return run
 
 
-def _vectors(groups: int):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            ids = batch.column("rep")
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                yield {"rep": ids.slice(at, 1000), "point": [x.astype("<u4").tobytes() for x in points(_grams(part.column("grams")), groups)]}
-
-    return run
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Each set's size and its finer point."""
+    for batch in batches:
+        sets = _grams(batch.column("grams"))
+        yield {"rep": batch.column("rep"), "n": [len(x) for x in sets], "point": [pack_point(points([x], fine_groups(len(x)))[0]) for x in sets]}
 
 
 def keep_one(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component stays, the one of the smallest doc_id, with all its columns."""
-    found = link_components(documents, size, num, den)
+    """One document of each component stays, the one of the smallest doc_id, with all its columns.
+
+    Of rows that repeat this doc_id and the text, one stays; rows without a doc_id all stay.
+    """
+    found = link_components(documents, size, num, den).where("doc_id IS NOT NULL")
     gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return documents.join(gone, documents["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    again = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
+    left = documents.join(gone, documents["doc_id"] == F.col("__id"), "left_anti")
+    once = left.join(again, left["doc_id"] == F.col("__id"), "left_anti")
+    repeated = left.join(again, left["doc_id"] == F.col("__id"), "left_semi")
+    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))

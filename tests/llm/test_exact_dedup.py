@@ -61,3 +61,20 @@ def test_drop_copies_keeps_columns(odd_documents):
     kept = exact_dedup.drop_copies(odd_documents)
     assert kept.columns == odd_documents.columns
     assert {r.doc_id for r in kept.collect()} == {1, 2, 4, 5, 6, None, 8, 9, 10}
+
+
+def test_drop_copies_goes_by_rows(spark):
+    """Repeated rows leave one; rows of one id with other texts are judged apart; null ids too."""
+    rows = [(1, "a b"), (1, "a b"), (1, "a  b"), (2, "a\tb"), (2, "c"), (3, "c"), (None, "n"), (None, "n"), (None, "c"), (4, None), (5, "")]
+    kept = exact_dedup.drop_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), " ".join((r.text or "").split())) for r in kept) == [("1", "a b"), ("2", "c"), ("4", ""), ("None", "n")]
+
+
+def test_bounded_indexes_give_whole_groups(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FLUSH", 3)
+    rows = [(i, f"text {i % 37}") for i in range(400)]
+    found = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(found) == 400
+    for r in found:
+        assert r.keep_id == r.doc_id % 37
+        assert r.group_size == len(range(r.doc_id % 37, 400, 37))

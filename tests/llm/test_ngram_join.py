@@ -7,7 +7,7 @@ import pytest
 
 from cinderlog.llm import ngram_join
 from cinderlog.llm.components import components
-from cinderlog.llm.ngram_join import RTree, Threshold, keys_of, linked_in, points
+from cinderlog.llm.ngram_join import RTree, Threshold, keys_of, links_in, points
 
 
 def brute(rows, size, num, den):
@@ -56,7 +56,7 @@ def made(rng, n):
 
 @pytest.mark.parametrize(("size", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 60, 100)])
 def test_components_equal_brute_force(spark, size, num, den, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE_POINTS", 8)
+    monkeypatch.setattr(ngram_join, "TILE_LOAD", 8192)
     monkeypatch.setattr(ngram_join, "GROUP_GRAMS", 2000)
     rows = made(random.Random(size), 500)
     found = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), size, num, den).collect()
@@ -99,8 +99,41 @@ def test_tree_finds_all_within_the_bound():
             common = len(np.intersect1d(sets[i], sets[j]))
             if j != i and 100 * common >= 90 * (sizes[i] + sizes[j] - common):
                 assert j in found
-    group = linked_in(sets, t)
-    assert (group[group] == group).all()
+    links = links_in(sets, t)
+    assert len(links) < len(sets)
+    for i, j in links:
+        common = len(np.intersect1d(sets[i], sets[j]))
+        assert 100 * common >= 90 * (sizes[i] + sizes[j] - common)
+    fine = [ngram_join.pack_point(points([x], ngram_join.fine_groups(len(x)))[0]) for x in sets]
+    counts = ngram_join.unpack_points(fine, sizes)
+    assert (counts.sum(1) == sizes).all()
+    kept = ngram_join.survivors(counts, sizes, label, t)
+    assert {x for link in links for x in link} <= set(np.flatnonzero(kept).tolist())
+
+
+def test_points_of_many_equal_hashes_keep_their_counts():
+    """A group with more than 255 n-grams needs four bytes a count."""
+    sets = [np.arange(1000, dtype=np.uint64), np.arange(300, 1600, dtype=np.uint64)]
+    sizes = np.array([1000, 1300])
+    fine = [ngram_join.pack_point(points([x], ngram_join.fine_groups(len(x)))[0]) for x in sets]
+    assert (ngram_join.unpack_points(fine, sizes).sum(1) == sizes).all()
+
+
+def test_equal_sets_and_bad_thresholds(spark):
+    rows = made(random.Random(9), 120)
+    found = ngram_join.link_components(spark.createDataFrame(rows, "doc_id long, text string"), 2, 1, 1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows, 2, 1, 1)
+    with pytest.raises(ValueError):
+        Threshold(101, 100)
+
+
+def test_tiles_give_links_not_pairs():
+    """A component of near copies that meets others in one tile: a tree of links, whatever the pairs."""
+    rng, t = np.random.default_rng(8), Threshold(80, 100)
+    base = np.unique(rng.integers(0, 2**64, 300, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) > 0.02], rng.integers(0, 2**64, 5, dtype=np.uint64)])) for _ in range(150)]
+    assert len(links_in(sets, t)) == 149
+    assert len(links_in(sets, t, np.arange(150) // 50)) == 2
 
 
 def test_odd_documents(odd_documents, no_documents):
@@ -119,7 +152,9 @@ def test_odd_documents(odd_documents, no_documents):
 def test_keep_one(odd_documents):
     kept = ngram_join.keep_one(odd_documents, 3, 90, 100)
     assert kept.columns == odd_documents.columns
-    assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 4, 5, None, 8, 10}
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 4, 5, None, 8, 10], key=str)
+    twice = odd_documents.unionByName(odd_documents)
+    assert sorted((r.doc_id for r in ngram_join.keep_one(twice, 3, 90, 100).collect()), key=str) == sorted([1, 2, 3, 4, 5, None, None, 8, 10], key=str)
 
 
 def test_components_of_chains(spark):
