@@ -7,9 +7,10 @@ the ratio of its class counts, and a linear hinge-loss model is fitted by dual
 coordinate descent. Margins become scores by a logistic curve fitted to rows that the
 model didn't see.
 
-Fitted on at most TRAIN_ROWS labelled rows (those with the smallest hash of doc_id) and
-FEATURE_BUDGET features in all, in one task; the model has DIM weights whatever the
-input, so it may be broadcast. Every row is scored, whole.
+Fitted on at most TRAIN_ROWS labelled rows (those with the smallest hash of doc_id):
+their features are extracted where the rows lie and gathered in one task, at most DIM
+numbers of four bytes for each; the model has DIM weights whatever the input, so it may
+be broadcast. Every row is scored, whole.
 
 Cases: null text counts as empty and gets a score as any other; rows of labels that are
 null or whose document is absent aren't learned from; a doc_id with several labels
@@ -28,10 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm._text import docs_of, map_arrow, text_bytes, windows, word_hashes
+from cinderlog.llm._text import docs_of, map_arrow, text_bytes, windows, word_hashes, workers_find_package
 
 TRAIN_ROWS = 12_000
-FEATURE_BUDGET = 30_000_000
 TRIGRAMS = 1 << 17
 REPEATS = 16
 DIM = 256 + 65536 + TRIGRAMS + REPEATS
@@ -94,11 +94,10 @@ def fit(features: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, flo
     sign = np.where(labels > 0, 1.0, -1.0)
     cost = COST * np.where(labels > 0, 0.5 / share, 0.5 / (1 - share))
     w, bias, alpha = np.zeros(DIM), 0.0, np.zeros(len(labels))
-    scaled = {i: ratio[features[i]] for i in used}
-    norm = {i: max(1e-9, float(np.sqrt((x**2).sum()))) for i, x in scaled.items()}
+    norm = {i: max(1e-9, float(np.sqrt((ratio[features[i]] ** 2).sum()))) for i in used}
     for _ in range(EPOCHS):
         for i in rng.permutation(used):
-            at, x = features[i], scaled[i] / norm[i]
+            at, x = features[i], ratio[features[i]] / norm[i]
             gradient = sign[i] * (w[at] @ x + bias) - 1
             new = min(max(alpha[i] - gradient / 2, 0.0), 10 * cost[i])  # x @ x + 1 is 2
             if new != alpha[i]:
@@ -130,7 +129,7 @@ def _logistic(margin: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> bytes:
-    """Fits the model in one task; its bytes come to the driver."""
+    """Fits the model in one task, from features of `rows` rows at most; its bytes come to the driver."""
     docs = docs_of(documents)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("quality")).where(
         F.col("quality").isNotNull() & (fold_of(F.col("doc_id")) != HELD_OUT)
@@ -148,17 +147,10 @@ def train(documents: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> by
         for batch in batches:
             got += zip(*(batch.column(x).to_pylist() for x in ("doc_id", "label", "at")), strict=True)
         got.sort()
-        features, y, total = [], [], 0
-        for _, label, at in got:
-            total += len(at) // 4
-            if total > FEATURE_BUDGET:
-                break
-            features.append(np.frombuffer(at, "<u4").astype(np.int64))
-            y.append(label)
-        weights, a, b = fit(features, np.array(y, float))
+        weights, a, b = fit([np.frombuffer(x, "<u4") for _, _, x in got], np.array([x for _, x, _ in got], float))
         yield {"model": [struct.pack("<dd", a, b) + weights.astype("<f4").tobytes()]}
 
-    found = map_arrow(map_arrow(chosen, grams, "doc_id long, label int, at binary").coalesce(1), one, "model binary").collect()
+    found = map_arrow(map_arrow(chosen, grams, "doc_id long, label int, at binary").repartition(1), one, "model binary").collect()
     return bytes(found[0].model)
 
 
@@ -191,7 +183,14 @@ def score(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> Da
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted as good, with all their columns; doc_id identifies them."""
-    good = score(documents, labels).where("predicted = 1").select(F.col("doc_id").alias("__id"))
-    return documents.join(good.distinct(), documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+def keep(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents predicted as good, with all their columns; each row goes by its own text."""
+    model = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(model.value)
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(x, w) >= threshold for x, w in _with_words(batch)], pa.bool_()))
+
+    workers_find_package(documents.sparkSession)
+    return documents.mapInArrow(run, documents.schema)

@@ -8,7 +8,9 @@ looks at the types, not at all examples.
 
 Documents longer than a sequence are cut; each cut piece is an example. Pieces are dealt
 to tasks by a hash of document and place, so neither a long document nor a hot source
-gathers in one task, and each task leaves about one sequence unfilled.
+gathers in one task. A task packs GROUP_ROWS pieces at a time, and each such group leaves
+about one sequence unfilled. Examples with equal dot products go by size, smaller tokens
+first, and equal sizes by `by`.
 
 Cases: null text is empty and has its end id alone; null doc_ids and repeated rows are
 packed like any other; an empty table gives an empty result; texts are encoded whole; an
@@ -31,8 +33,11 @@ from cinderlog.llm._text import cut, docs_of, map_arrow, workers_find_package
 from cinderlog.llm.bpe import encoder
 
 SEQUENCE_TOKENS = 2048
-MAX_SEGMENTS = 512
+#: Segments of a sequence at most: each has a token, so by default this adds nothing to the limit on tokens.
+MAX_SEGMENTS = SEQUENCE_TOKENS
 END_ID = 1
+#: Examples that are packed together: about 100 MB.
+GROUP_ROWS = 200_000
 
 
 def fill(sizes: np.ndarray, limits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +114,7 @@ def pack(examples: DataFrame, tokens: str, segments: str, loss: str, limits: tup
     return dealt.mapInArrow(run, dealt.withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema)
 
 
-def _groups(batches: Iterator[pa.RecordBatch], rows: int = 200_000) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch], rows: int = GROUP_ROWS) -> Iterator[pa.Table]:
     """Batches in tables of about `rows` rows, packed one after another in bounded memory."""
     held: list[pa.RecordBatch] = []
     for batch in batches:

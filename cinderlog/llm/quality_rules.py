@@ -2,15 +2,21 @@
 
 Every text gets counts; their transformed shares form a vector. For each language and
 source the minimum-covariance-determinant estimate of mean and covariance is found by
-concentration steps from the coordinatewise medians: each step keeps the share H of the
-rows that lie nearest by Mahalanobis distance and estimates again from them. All rows
-take part, by aggregates that are added up before the shuffle; a source that holds a
-third of all rows is never gathered. A text is rejected when its squared distance, made
-consistent by the median, is beyond LIMIT.
+concentration steps: each keeps the share H of the rows that lie nearest by Mahalanobis
+distance and estimates again from them, until the determinant no longer falls. There are
+two starts, the coordinatewise medians with absolute deviations and the plain moments;
+the one whose end has the smaller determinant counts. A text is rejected when its
+squared distance, made consistent by the median, is beyond LIMIT.
 
-Vectors are kept as whole multiples of 1/1024, so sums don't depend on their order.
 Groups with fewer than LEAST_ROWS texts that passed the base rules use the estimate of
-their language, and languages with fewer use that of all texts.
+their language, and languages with fewer use that of all texts. The three levels are
+estimated together: a row counts for its group, its language and all, in aggregates that
+are added up before the shuffle, so a source that holds a third of all rows is never
+gathered. Rows meet estimates by broadcast while these are few, else by a salted join.
+
+Vectors are kept as whole multiples of 1/1024, so sums are exact whatever their order.
+The nearest rows are found by counts of distances in steps of 1/32 of their logarithm, so
+a step keeps H of the rows or up to the end of that step's bin.
 
 Cases: null or empty text has no words and fails the base rules; null lang and source are
 groups of their own; ties in the distance fall on the kept side; repeated rows are judged
@@ -32,10 +38,15 @@ from cinderlog.llm._text import cut, map_arrow, windows, word_hashes
 WINDOW_WORDS = 8
 SYMBOLS = "#*$%&|<>"
 H = 0.75
-STEPS = 3
+#: Concentration steps at most; a group's end earlier once its determinant no longer falls.
+STEPS = 20
 LEAST_ROWS = 100
 #: Squared distance beyond which a text is rejected; 6 normal coordinates exceed it once in 400,000.
 LIMIT = 36.0
+#: Median of a chi-squared variable of 6 degrees of freedom.
+MEDIAN = 5.348
+#: Estimates that are broadcast at most, each under 1 kB; beyond, rows are joined in SALTS parts of each group.
+BROADCAST_ROWS, SALTS = 20_000, 64
 UNIT = 1024
 #: Standard deviations added to each coordinate, so that constant ones don't count as infinitely narrow.
 FLOOR = (0.05, 0.05, 0.10, 0.15, 0.15, 0.10)
@@ -70,8 +81,9 @@ def counts(text: str, words: np.ndarray) -> tuple[int, ...]:
 def statistics(documents: DataFrame) -> DataFrame:
     """doc_id, lang, source, the counts, base_failed, and the vector v of every row."""
     rows = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source")
-    )
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"),
+        _mark().alias("mark"),
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -83,43 +95,60 @@ def statistics(documents: DataFrame) -> DataFrame:
                 np.log(np.maximum(chars, 1) / np.maximum(words, 1)), np.sqrt(symbols / np.maximum(chars, 1)), np.sqrt(upper / np.maximum(chars, 1)),
                 np.sqrt(repeated / np.maximum(lines, 1)), np.sqrt(again / np.maximum(words, 1)), np.sqrt(stutters / np.maximum(words, 1)),
             ], 1)
-            out = {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "source": batch.column("source")}
+            out = {"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "source": batch.column("source"), "mark": batch.column("mark")}
             out |= {"n_words": words, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": repeated, "n_repeat_words": again}
             out["base_failed"] = (words < 20) | (100 * again > 30 * words)
             yield out | {"v": list(np.rint(vector * UNIT).astype(np.int64))}
 
-    return map_arrow(rows, run, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, v array<long>")
+    return map_arrow(rows, run, "doc_id long, mark long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, v array<long>")
 
 
 DIM = len(NAMES)
 _PAIRS = [(i, j) for i in range(DIM) for j in range(i, DIM)]
-_KEYS = {"group": ["lang", "source"], "lang": ["lang"], "all": []}
+_GROUP = ["level", "lang", "source"]
+_RUN = [*_GROUP, "start"]
+
+
+def _at_levels(rows: DataFrame) -> DataFrame:
+    """A row for each level: its language and source (0), its language (1), all (2)."""
+    at = lambda level, lang, source: F.struct(F.lit(level).alias("level"), lang.alias("lang"), source.alias("source"))
+    levels = F.array(at(0, F.col("lang"), F.col("source")), at(1, F.col("lang"), F.lit("")), at(2, F.lit(""), F.lit("")))
+    return rows.select("v", F.xxhash64("v").alias("salt"), F.explode(levels).alias("g")).select("v", "salt", "g.*")
+
+
+def _attach(rows: DataFrame, found: DataFrame, keys: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """rows, which have a salt, with the columns of found; few: found has BROADCAST_ROWS rows at most, by count."""
+    if few:
+        return rows.join(F.broadcast(found), keys, how)
+    parts = found.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("part", F.pmod("salt", F.lit(SALTS)).cast("int")).join(parts, [*keys, "part"], how).drop("part")
 
 
 def _moments() -> list[Column]:
-    x = [F.col("v")[i].cast("double") for i in range(DIM)]
+    x = [F.col("v")[i] for i in range(DIM)]
     return [F.count("*").alias("n"), F.array(*(F.sum(c) for c in x)).alias("s"), F.array(*(F.sum(x[i] * x[j]) for i, j in _PAIRS)).alias("q")]
 
 
-def _invert(rows: DataFrame, scale: float = 1.0) -> DataFrame:
-    """Adds mean and inverse covariance (pairs, off-diagonal twice) to rows of n, s, q."""
-    keys = [x for x in rows.columns if x not in ("n", "s", "q")]
+def shape(n: int, s: list[int], q: list[int]) -> tuple[list[float], list[float], float]:
+    """Mean, inverse covariance (pairs, off-diagonal twice) and the covariance's log-determinant."""
+    m = np.array(s, float) / n
+    c = np.diag((np.array(FLOOR) * UNIT) ** 2)
+    for (i, j), value in zip(_PAIRS, q, strict=True):
+        c[i, j] += value / n - m[i] * m[j]
+        c[j, i] = c[i, j]
+    p = np.linalg.inv(c)
+    return m.tolist(), [p[i, j] * (1 if i == j else 2) for i, j in _PAIRS], float(np.linalg.slogdet(c)[1])
+
+
+def _invert(rows: DataFrame) -> DataFrame:
+    """Mean, inverse and log-determinant from rows of n, s, q."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            mean, inverse = [], []
-            for n, s, q in zip(*(batch.column(x).to_pylist() for x in ("n", "s", "q")), strict=True):
-                m = np.array(s) / n
-                c = np.diag((np.array(FLOOR) * UNIT) ** 2)
-                for (i, j), value in zip(_PAIRS, q, strict=True):
-                    c[i, j] += value / n - m[i] * m[j]
-                    c[j, i] = c[i, j]
-                p = np.linalg.inv(c)
-                mean.append(m.tolist())
-                inverse.append([p[i, j] * (1 if i == j else 2) for i, j in _PAIRS])
-            yield {k: batch.column(k) for k in [*keys, "n"]} | {"mean": mean, "inverse": inverse}
+            found = [shape(*x) for x in zip(*(batch.column(x).to_pylist() for x in ("n", "s", "q")), strict=True)]
+            yield {k: batch.column(k) for k in _RUN} | {"mean": [x[0] for x in found], "inverse": [x[1] for x in found], "logdet": [x[2] for x in found]}
 
-    return map_arrow(rows, run, "".join(f"{k} string, " for k in keys) + "n long, mean array<double>, inverse array<double>")
+    return map_arrow(rows.select(*_RUN, "n", "s", "q"), run, "level int, lang string, source string, start int, mean array<double>, inverse array<double>, logdet double")
 
 
 def _distance() -> Column:
@@ -128,65 +157,81 @@ def _distance() -> Column:
 
 
 def _bin() -> Column:
-    """Squared distances in steps of 1/32 of their logarithm: few bins whatever the rows."""
-    return F.floor(F.log(F.greatest(_distance(), F.lit(1e-6))) * 32).cast("int")
-
+    """Squared distances in steps of 1/32 of their logarithm: under 1,200 bins whatever the rows."""
+    return F.floor(F.log(F.least(F.greatest(_distance(), F.lit(1e-4)), F.lit(1e12))) * 32).cast("int")
 
-def _on(keys: list[str]) -> list[str]:
-    return keys or ["one"]
 
+def _quantile(placed: DataFrame, share: float, name: str) -> DataFrame:
+    """For each run the smallest bin up to which it has this share of its rows, from counts by bin."""
+    bins = placed.groupBy(*_RUN, "bin").agg(F.count("*").alias("k"))
+    upto = Window.partitionBy(*_RUN).orderBy("bin")
+    every = Window.partitionBy(*_RUN)
+    bins = bins.withColumns({"upto": F.sum("k").over(upto), "total": F.sum("k").over(every)})
+    return bins.where(F.col("upto") >= F.ceil(F.col("total") * share)).groupBy(*_RUN).agg(F.min("bin").alias(name))
 
-def estimate(rows: DataFrame, level: str) -> DataFrame:
-    """mean, inverse and the distance's consistency factor of each group of one level.
 
-    rows: lang, source, v of the texts that passed the base rules. Keys are never null.
-    """
-    keys = _on(_KEYS[level])
-    rows = rows.withColumn("one", F.substring("lang", 1, 0)).select(*keys, "v")
-    middles = rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.percentile(F.col("v")[i], F.lit(0.5)).alias(f"m{i}") for i in range(DIM)))
-    centred = rows.join(middles.select(*keys, F.array(*(F.col(f"m{i}") for i in range(DIM))).alias("m")), keys)
-    spread = centred.groupBy(*keys).agg(*(F.percentile(F.abs(F.col("v")[i] - F.col("m")[i]), F.lit(0.5)).alias(f"d{i}") for i in range(DIM)))
+def _starts(rows: DataFrame) -> DataFrame:
+    """Both starts of every group: start, mean, inverse. rows: what _at_levels gives."""
+    middles = cut(rows.groupBy(*_GROUP).agg(F.array(*(F.percentile(F.col("v")[i], F.lit(0.5)) for i in range(DIM))).alias("m")))
+    centred = _attach(rows, middles, _GROUP, middles.count() <= BROADCAST_ROWS)
+    spread = centred.groupBy(*_GROUP).agg(*(F.percentile(F.abs(F.col("v")[i] - F.col("m")[i]), F.lit(0.5)).alias(f"d{i}") for i in range(DIM)))
     variance = [F.pow(F.lit(1.4826) * F.col(f"d{i}"), 2) + F.lit((FLOOR[i] * UNIT) ** 2) for i in range(DIM)]
-    start = middles.join(spread, keys).select(
-        *keys, "n", F.array(*(F.col(f"m{i}") for i in range(DIM))).alias("mean"), F.array(*(1 / variance[i] if i == j else F.lit(0.0) for i, j in _PAIRS)).alias("inverse")
-    )
-    found = cut(start)
+    robust = middles.join(spread, _GROUP).select(*_GROUP, F.lit(0).alias("start"), F.col("m").alias("mean"), F.array(*(1 / variance[i] if i == j else F.lit(0.0) for i, j in _PAIRS)).alias("inverse"))
+    plain = _invert(rows.groupBy(*_GROUP).agg(*_moments()).withColumn("start", F.lit(1))).select(*_RUN, "mean", "inverse")
+    return cut(robust.unionByName(plain))
+
+
+def estimates(passed: DataFrame) -> DataFrame:
+    """level, lang, source, n, mean, inverse, factor of each group: lang, source, v of the texts that passed the base rules, keys never null."""
+    rows = _at_levels(passed)
+    state = cut(_starts(rows).withColumns({"logdet": F.lit(float("inf")), "live": F.lit(True)}))
+    few = state.count() <= BROADCAST_ROWS
     for _ in range(STEPS):
-        placed = rows.join(found.select(*keys, "mean", "inverse"), keys).select(*keys, "v", _bin().alias("bin"))
-        near = placed.join(_quantile(placed, keys, H, "far"), keys).where(F.col("bin") <= F.col("far"))
-        found = cut(_invert(near.groupBy(*keys).agg(*_moments())))
-    placed = rows.join(found.select(*keys, "mean", "inverse"), keys).select(*keys, _bin().alias("bin"))
-    # the median of a chi-squared variable with 6 degrees of freedom is 5.348
-    factor = _quantile(placed, keys, 0.5, "mid").select(*keys, (5.348 / F.exp((F.col("mid") + 1) / 32)).alias("factor"))
-    n = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    return cut(found.drop("n").join(factor, keys).join(n, keys).where(F.col("n") >= LEAST_ROWS).drop("n"))
-
-
-def _quantile(placed: DataFrame, keys: list[str], share: float, name: str) -> DataFrame:
-    """For each group the smallest bin up to which it has this share of its rows, from counts by bin."""
-    bins = placed.groupBy(*keys, "bin").agg(F.count("*").alias("k"))
-    upto = Window.partitionBy(*keys).orderBy("bin")
-    every = Window.partitionBy(*keys)
-    bins = bins.withColumns({"upto": F.sum("k").over(upto), "total": F.sum("k").over(every)})
-    return bins.where(F.col("upto") >= F.ceil(F.col("total") * share)).groupBy(*keys).agg(F.min("bin").alias(name))
+        now = state.where("live").select(*_RUN, "mean", "inverse")
+        far = _quantile(_attach(rows, now, _GROUP, few).withColumn("bin", _bin()), H, "far").join(now, _RUN)
+        near = _attach(rows, far, _GROUP, few).where(_bin() <= F.col("far"))
+        found = _invert(near.groupBy(*_RUN).agg(*_moments())).select(*_RUN, *(F.col(x).alias(f"{x}_new") for x in ("mean", "inverse", "logdet")))
+        falls = F.coalesce(F.col("live") & (F.col("logdet_new") < F.col("logdet") - 1e-9), F.lit(False))
+        taken = (F.when(falls, F.col(f"{x}_new")).otherwise(F.col(x)).alias(x) for x in ("mean", "inverse", "logdet"))
+        state = cut(state.join(found, _RUN, "left").select(*_RUN, *taken, falls.alias("live")))
+        if state.where("live").isEmpty():
+            break
+    best = cut(state.groupBy(*_GROUP).agg(F.min_by(F.struct("start", "mean", "inverse"), F.struct("logdet", "start")).alias("x")).select(*_GROUP, "x.*"))
+    mid = _quantile(_attach(rows, best, _GROUP, few).withColumn("bin", _bin()), 0.5, "mid")
+    n = rows.groupBy(*_GROUP).agg(F.count("*").alias("n"))
+    # a factor over 1 would widen distances where most texts are alike
+    return cut(best.join(mid, _RUN).join(n, _GROUP).select(*_GROUP, "n", "mean", "inverse", F.least(F.lit(1.0), MEDIAN / F.exp((F.col("mid") + 1) / 32)).alias("factor")))
+
+
+def _chosen(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """For each lang and source the estimate it is judged by: the first of its levels with LEAST_ROWS texts."""
+    groups = _at_levels(rows.select("lang", "source").distinct().withColumns({"v": F.struct("lang", "source")}))
+    enough = found.where(F.col("n") >= LEAST_ROWS).drop("n")
+    return cut(groups.join(enough, _GROUP).groupBy("v.lang", "v.source").agg(F.min_by(F.struct("mean", "inverse", "factor"), "level").alias("x")).select("lang", "source", "x.*"))
 
 
 def judge(documents: DataFrame) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance."""
+    return _judged(documents).drop("mark")
+
+
+def _judged(documents: DataFrame) -> DataFrame:
     rows = cut(statistics(documents).withColumns({"lang": F.coalesce("lang", F.lit("\0")), "source": F.coalesce("source", F.lit("\0"))}))
-    passed = rows.where(~F.col("base_failed")).select("lang", "source", "v")
-    judged = rows.withColumn("one", F.substring("lang", 1, 0))  # a key that all rows have; a literal would make the join a cross join
-    for level, names in _KEYS.items():
-        keys = _on(names)
-        # a factor over 1 would widen distances where most texts are alike
-        found = estimate(passed, level).select(*keys, "mean", "inverse", F.least("factor", F.lit(1.0)).alias("factor"))
-        judged = judged.join(found, keys, "left").withColumn(f"d_{level}", _distance() * F.col("factor")).drop("mean", "inverse", "factor")
-    distance = F.coalesce("d_group", "d_lang", "d_all", F.lit(0.0))
+    found = estimates(rows.where(~F.col("base_failed")).select("lang", "source", "v"))
+    chosen = _chosen(rows, found)
+    judged = _attach(rows.withColumn("salt", F.xxhash64("v")), chosen, ["lang", "source"], chosen.count() <= BROADCAST_ROWS, "left")
+    distance = F.coalesce(_distance() * F.col("factor"), F.lit(0.0))
     counted = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return judged.select("doc_id", *counted, "base_failed", (~F.col("base_failed") & (distance <= LIMIT)).alias("kept"), distance.alias("distance"))
+    return judged.select("doc_id", "mark", *counted, "base_failed", (~F.col("base_failed") & (distance <= LIMIT)).alias("kept"), distance.alias("distance"))
 
 
 def keep(documents: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns; doc_id identifies them."""
-    kept = judge(documents).where("kept").select(F.col("doc_id").alias("__id"))
-    return documents.join(kept.distinct(), documents["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """The documents that are kept, with all their columns; rows go by doc_id, text, lang and source."""
+    kept = _judged(documents).where("kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    own = documents["doc_id"].eqNullSafe(F.col("__id")) & (_mark() == F.col("__mark"))
+    return documents.join(kept, own, "left_semi")
+
+
+def _mark() -> Column:
+    """Tells rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("lang").cast("string"), F.col("source").cast("string"))
