@@ -6,10 +6,14 @@ coordinate minima of two points bounds their overlap, as the sum of minima with
 upper corner bounds the overlap with all points in it.
 
 1. Texts with equal sets are one class; its smallest doc_id stands for it.
-2. Two sets that link differ in at most d n-grams. Cut into d + 1 ranges of hashes, they
-   agree in one range whole, so each set is filed under a key for each range (sizes are
-   cut into intervals, and sets near an interval's edge are filed for both sides). Rows
-   are dealt by range of (key, doc_id), so a frequent key is split between tasks.
+2. Two sets that link differ in at most d n-grams. Cut into d + 1 + s ranges of hashes, they
+   agree in s + 1 ranges whole, so each set is filed under a key for each range (sizes are
+   cut into intervals, and sets near an interval's edge are filed for both sides). Of its
+   keys a set drops the s most frequent, by an order that all sets share: the rarest key of
+   those that two linked sets have in common is dropped by neither. So keys of passages
+   that many texts hold, and keys met by chance, bring no sets together unless a text has
+   more than s of them. Rows are dealt by range of (key, doc_id), so a frequent key is
+   split between tasks.
 3. Sets with a shared key are gathered around the leader with which they share most keys,
    in groups of bounded size. Each group is indexed by an R-tree of its points; pairs that
    survive the bound are verified with the whole sets, those already connected skipped.
@@ -36,7 +40,7 @@ from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.llm._text import cut, docs_of, map_arrow, mix, text_bytes, windows, word_hashes
@@ -44,6 +48,10 @@ from cinderlog.llm.components import components
 
 GROUPS = 64
 LEAF = 32
+#: Ranges over those needed, as a share of them: how many frequent keys a set drops.
+SPARE_SHARE = 0.35
+#: Keys with more rows in a task count as equally frequent.
+FREQUENT = 4096
 #: N-grams and sets in a group of step 3, about.
 GROUP_GRAMS, GROUP_SETS = 1_000_000, 512
 #: Load of a side of a tile of step 4, about; a set of n n-grams is a load of SET_LOAD + n.
@@ -85,27 +93,48 @@ class Threshold:
 
     @lru_cache(maxsize=100_000)  # noqa: B019
     def filings(self, n: int) -> tuple[tuple[int, int, int], ...]:
-        """(interval, ranges, spare) under which a set of n is filed."""
+        """(interval, ranges, spare empty ones) under which a set of n is filed."""
         if self.num == self.den:
-            return ((n, 1, 0),)
+            return ((n % INTERVALS, 1, 0),)
         i = int(np.searchsorted(self.edges, n, "right")) - 1
-        out = [(2 * i, *self._ranges(self.edges[i], self.edges[i + 1] - 1, self.edges[i + 1] - 1))]
+        out = [(2 * i, *self._ranges(2 * i)[:2])]
         for k in (i, i + 1):  # pairs across the edge: one below it, one not
-            edge = self.edges[k]
-            least, most = -(-edge * self.num // self.den), (edge - 1) * self.den // self.num
-            if edge > 1 and least <= n <= most and most >= edge:
-                out.append((2 * k - 1, *self._ranges(least, edge - 1, most)))
+            least, most = self._across(k)
+            if k and least <= n <= most and most >= self.edges[k]:
+                out.append((2 * k - 1, *self._ranges(2 * k - 1)[:2]))
         return tuple(out)
 
-    def _ranges(self, least: int, a: int, b: int) -> tuple[int, int]:
+    def dropped(self) -> list[int]:
+        """By interval, how many of its most frequent keys a set drops."""
+        return [0] * INTERVALS if self.num == self.den else [self._ranges(i)[2] if 0 <= i < 2 * len(self.edges) - 2 else 0 for i in range(INTERVALS)]
+
+    def _across(self, k: int) -> tuple[int, int]:
+        """The sizes that may link across an edge."""
+        return -(-self.edges[k] * self.num // self.den), (self.edges[k] - 1) * self.den // self.num
+
+    @lru_cache(maxsize=1000)  # noqa: B019
+    def _ranges(self, interval: int) -> tuple[int, int, int]:
+        """For an interval its ranges, and how many of them are spare for empty and for frequent ones."""
+        k = (interval + 1) // 2
+        if interval % 2:
+            (least, b), a = self._across(k), self.edges[k] - 1
+        else:
+            least, a, b = self.edges[k], self.edges[k + 1] - 1, self.edges[k + 1] - 1
         need = max(self.differ(a, b), self.differ(a, b - 1)) + 1  # of two sums one apart, either may allow more
-        empty = need * exp(-least / need)
-        spare = ceil(empty + 3 * sqrt(empty)) if need > 1 else 0
-        return need + spare, spare
+        if need <= 1:
+            return 1, 0, 0
+        frequent = ceil(SPARE_SHARE * need)
+        empty = (need + frequent) * exp(-least / (need + frequent))
+        spare = ceil(empty + 3 * sqrt(empty))
+        return need + frequent + spare, spare, frequent
+
+
+#: Numbers of intervals, kept in a key's low byte.
+INTERVALS = 256
 
 
 def keys_of(grams: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """The keys a set is filed under: one for each range of hashes, from its content there.
+    """The keys a set is filed under: one for each range of hashes, from its content there, with the interval in its low byte.
 
     Empty ranges are left out unless the set has more of them than were added as spares:
     linked sets that agree in empty ranges alone both have more.
@@ -119,9 +148,10 @@ def keys_of(grams: np.ndarray, threshold: Threshold) -> np.ndarray:
         count = np.diff(at)
         label = mix(np.uint64(interval << 32) + np.arange(ranges, dtype=np.uint64))
         key = mix((sums[at[1:]] - sums[at[:-1]]) ^ label) + count.astype(np.uint64)
+        key = key & np.uint64(2**64 - INTERVALS) | np.uint64(interval)
         filled = count > 0
         out.append(key if ranges - filled.sum() > spare else key[filled])
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out)
 
 
 class RTree:
@@ -257,7 +287,7 @@ def _streams(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
 
 
 def filed(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
-    """(key, doc_id, leader) of keys that several rows share: leader is the smallest id of the key in its task."""
+    """(key, id) of every text."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -265,37 +295,51 @@ def filed(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
             texts = text_bytes(batch.column("text"))
             for at in range(0, len(texts), 256):
                 keys = [keys_of(x, threshold) if len(x) else x for x in gram_sets(texts[at : at + 256], size)]
-                yield {"key": np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64), "doc_id": np.repeat(ids[at : at + 256], [len(x) for x in keys])}
+                yield {"key": np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64), "id": np.repeat(ids[at : at + 256], [len(x) for x in keys])}
+
+    return map_arrow(docs.where("doc_id IS NOT NULL"), file, "key long, id long")
+
 
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """Keeps rows whose key another row of the task has, and those of its first and last key."""
-        key, ids, leader, first = np.empty(0, np.int64), np.empty(0, np.int64), None, True
+def shared(rows: DataFrame) -> DataFrame:
+    """(key, id, leader, n) of keys that several rows (key, id) may share.
+
+    leader: the key's smallest id in its task. n: the key's rows, FREQUENT + 1 where there
+    are more, or where the key is a task's first or last, so that it may go on in another.
+    All rows of a key have the same n.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        key, ids = np.empty(0, np.int64), np.empty(0, np.int64)
+        first: int | None = None
+        hot: tuple[int, int] | None = None  # the key whose rows are handed on as they come, and its leader
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = np.concatenate([key, batch.column("key").to_numpy()])
-            ids = np.concatenate([ids, batch.column("doc_id").to_numpy()])
-            # all but the last row are settled once the row after them is known
-            starts = np.concatenate([[leader is None or leader[0] != key[0]], key[1:] != key[:-1]])
-            begin = np.maximum.accumulate(np.where(starts, np.arange(len(key)), -1))
-            lead = np.where(begin >= 0, ids[np.maximum(begin, 0)], leader[1] if leader else 0)
-            again = np.concatenate([~starts[1:], [False]]) | ~starts
-            if first:
-                again[key == key[0]] = True
-                first = False
-            out = again[:-1]
-            yield {"key": key[:-1][out], "doc_id": ids[:-1][out], "leader": lead[:-1][out]}
-            leader = (key[-1], lead[-1]) if not starts[-1] or len(key) > 1 and key[-2] == key[-1] else None
-            carried = leader is not None
-            key, ids = key[-1:], ids[-1:]
-            if carried:
-                yield {"key": key, "doc_id": ids, "leader": lead[-1:]}
-                leader, key, ids = (int(key[0]), int(lead[-1])), key[:0], ids[:0]
+            ids = np.concatenate([ids, batch.column("id").to_numpy()])
+            first = int(key[0]) if first is None else first
+            if hot and key[0] == hot[0]:
+                n = int(np.searchsorted(key, hot[0], "right"))
+                yield {"key": key[:n], "id": ids[:n], "leader": np.full(n, hot[1]), "n": np.full(n, FREQUENT + 1)}
+                key, ids = key[n:], ids[n:]
+                if not len(key):
+                    continue
+            hot = None
+            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.append(start, len(key)))
+            if count[-1] > FREQUENT:
+                hot = int(key[-1]), int(ids[start[-1]])
+            end = len(key) if hot else int(start[-1])
+            whole = len(count) if hot else len(count) - 1
+            n = np.where((count[:whole] > FREQUENT) | (key[start[:whole]] == first), FREQUENT + 1, count[:whole])
+            n, leader = np.repeat(n, count[:whole]), np.repeat(ids[start[:whole]], count[:whole])
+            good = n > 1
+            yield {"key": key[:end][good], "id": ids[:end][good], "leader": leader[good], "n": n[good]}
+            key, ids = key[end:], ids[end:]
         if len(key):
-            yield {"key": key, "doc_id": ids, "leader": ids}
+            yield {"key": key, "id": ids, "leader": np.full(len(key), ids[0]), "n": np.full(len(key), FREQUENT + 1)}
 
-    rows = map_arrow(docs.where("doc_id IS NOT NULL"), file, "key long, doc_id long")
-    return map_arrow(rows.repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id"), shared, "key long, doc_id long, leader long")
+    return map_arrow(rows.repartitionByRange("key", "id").sortWithinPartitions("key", "id"), run, "key long, id long, leader long, n int")
 
 
 def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -309,13 +353,17 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
 
     rows = cut(map_arrow(docs, digest, "doc_id long, n long, digest binary"))
     classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
-    shared = filed(docs, size, threshold)
-    shared = cut(shared.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").select("key", F.col("doc_id").alias("rep"), "leader", "n"))
+    rank = Window.partitionBy("rep", F.col("key").bitwiseAND(INTERVALS - 1)).orderBy(F.desc("often"), "key")
+    spare = F.element_at(F.array(*map(F.lit, threshold.dropped())), (F.col("key").bitwiseAND(INTERVALS - 1) + 1).cast("int"))
+    keys = shared(filed(docs, size, threshold)).select("key", F.col("id").alias("rep"), F.col("n").alias("often")).join(classes.select("rep", "n"), "rep")
+    # one row of each key, where a doc_id repeats
+    keys = keys.withColumns({"rank": F.row_number().over(rank), "spare": spare}).where("rank > spare").select("key", "rep").distinct()
+    met = cut(shared(cut(keys).select("key", F.col("rep").alias("id"))).select("key", F.col("id").alias("rep"), "leader"))
 
     # step 3: groups around leaders
-    led = shared.groupBy("rep", "leader").agg(F.count("*").alias("k"), F.min("n").alias("n"))
-    led = led.groupBy("rep").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader"), F.min("n").alias("n"))
-    active = cut(led)
+    led = met.groupBy("rep", "leader").agg(F.count("*").alias("k"))
+    led = led.groupBy("rep").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader"))
+    active = cut(led.join(classes.select("rep", "n"), "rep"))
     whole = map_arrow(docs.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), _sets(size), "rep long, grams binary")
     sets = cut(whole)
     load = active.groupBy("leader").agg(F.ceil(F.greatest(F.sum("n") / GROUP_GRAMS, F.count("*") / GROUP_SETS)).cast("int").alias("parts"))
@@ -335,7 +383,7 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
 
     # step 4: keys whose sets lie in different components
     member = cut(active.select("rep", "n").join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("component")))
-    known = shared.select("key", "rep").join(member, "rep").withColumn("load", SET_LOAD + F.col("n"))
+    known = met.select("key", "rep").join(member, "rep").withColumn("load", SET_LOAD + F.col("n"))
     by_component = known.groupBy("key", "component").agg(F.sum("load").alias("k"))
     open_keys = by_component.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1")
     tiles = open_keys.select("key", "main", F.ceil(F.col("most") / TILE_LOAD).cast("int").alias("a"), F.greatest(F.lit(1), F.ceil((F.col("rows") - F.col("most")) / TILE_LOAD)).cast("int").alias("b"))

@@ -77,7 +77,29 @@ def test_linked_sets_share_a_key(num, den):
         b = np.unique(np.concatenate([b, rng.integers(0, 2**64, int(rng.integers(0, most + 2)), dtype=np.uint64)]))
         common = len(np.intersect1d(a, b))
         if den * common >= num * (len(a) + len(b) - common):
-            assert len(np.intersect1d(keys_of(a, t), keys_of(b, t))), (len(a), len(b), common)
+            # more than either drops, in one interval at least
+            both = np.intersect1d(keys_of(a, t), keys_of(b, t)) % ngram_join.INTERVALS
+            assert any((both == i).sum() > t.dropped()[int(i)] for i in both), (len(a), len(b), common)
+
+
+def test_shared_keys_count_alike(spark, monkeypatch):
+    """All rows of a key get the same count, whatever its task and batches; keys of one row go."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 20)
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, 3, *range(10, 900)]), i) for i in range(3000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    found = ngram_join.shared(spark.createDataFrame(rows, "key long, id long")).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    sizes = {k: sum(1 for x, _ in rows if x == k) for k, _ in rows}
+    by_key = {}
+    for r in found:
+        by_key.setdefault(r.key, []).append(r)
+    assert {k for k, n in sizes.items() if n > 1} <= set(by_key)
+    for k, some in by_key.items():
+        assert {r.id for r in some} == {i for x, i in rows if x == k}
+        assert len({r.n for r in some}) == 1
+        assert some[0].n in ((sizes[k], 21) if sizes[k] <= 20 else (21,))
+        assert all(r.leader <= r.id for r in some)
 
 
 def test_tree_finds_all_within_the_bound():
