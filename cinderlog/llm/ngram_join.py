@@ -17,12 +17,13 @@ upper corner bounds the overlap with all points in it.
 3. Sets with a shared key are gathered around the leader with which they share most keys,
    in groups of bounded size. Each group is indexed by an R-tree of its points; pairs that
    survive the bound are verified with the whole sets, those already connected skipped.
-4. What remains are keys whose sets lie in different components: their points meet in
-   tiles of bounded size, again by R-tree, and survivors of its bound are held against finer
-   points, with about a group for each n-gram. A tile hands on rows that have a survivor in
-   another component, never pairs. Their whole sets meet in the same tile once more, where
-   pairs are verified; what is already connected is skipped, so a tile of n rows gives at
-   most n - 1 links. So no link between different texts is lost.
+4. What remains are keys whose sets lie in different components, one for all keys with the
+   same sets: their points meet in tiles of bounded size, again by R-tree, and survivors of
+   its bound are held against finer points, with about a group for each n-gram. A tile hands
+   on clusters, rows that survivors in other components connect, never pairs. Equal clusters
+   of several tiles are one. Each cluster's whole sets meet, and its pairs are verified; what
+   is already connected is skipped, so n rows give at most n - 1 links. So no link between
+   different texts is lost.
 
 Cases: texts without words are linked with nothing and have 0 n-grams; texts with fewer
 words than n have one n-gram, the whole sequence; null text is empty; rows with a null
@@ -238,19 +239,22 @@ def unpack_points(data: list[bytes], sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def survivors(counts: np.ndarray, sizes: np.ndarray, label: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """Which rows have another, in another component, that their points don't rule out as a link."""
+def clusters(counts: np.ndarray, sizes: np.ndarray, label: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """For each row the first of the rows that it is connected with by pairs, of different components, that points don't rule out as links."""
     coarse = counts.reshape(len(counts), GROUPS, -1).sum(2, dtype=np.int32)
     tree = RTree(coarse, sizes)
     boxes = _box_labels(tree, label)
-    out = np.zeros(len(counts), bool)
+    out = np.arange(len(counts))
     for i in range(len(counts)):
         found = tree.search(coarse[i], int(sizes[i]), threshold, label, label[i], boxes)
         found = found[found < i]
         if len(found):
             good = found[np.minimum(counts[found], counts[i]).sum(1) >= threshold.overlap(int(sizes[i]), sizes[found])]
-            out[good] = True
-            out[i] |= len(good) > 0
+            joined = np.unique(out[good])
+            if len(joined):
+                out[i] = joined[0]
+                for other in joined[1:]:
+                    out[out == other] = joined[0]
     return out
 
 
@@ -384,8 +388,14 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
     # step 4: keys whose sets lie in different components
     member = cut(active.select("rep", "n").join(first.select(F.col("id").alias("rep"), "component"), "rep", "left").select("rep", "n", F.coalesce("component", "rep").alias("component")))
     known = met.select("key", "rep").join(member, "rep").withColumn("load", SET_LOAD + F.col("n"))
-    by_component = known.groupBy("key", "component").agg(F.sum("load").alias("k"))
-    open_keys = by_component.groupBy("key").agg(F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main")).where("parts > 1")
+    # two hashes and a count tell the sets of a key
+    marks = [F.bit_xor(F.xxhash64("rep", F.lit(i))).alias(f"mark{i}") for i in (0, 1)]
+    by_component = known.groupBy("key", "component").agg(F.sum("load").alias("k"), F.count("*").alias("n"), *marks)
+    open_keys = by_component.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("k").alias("rows"), F.max("k").alias("most"), F.max_by("component", F.struct("k", "component")).alias("main"),
+        F.sum("n").alias("n"), *(F.bit_xor(f"mark{i}").alias(f"mark{i}") for i in (0, 1)),
+    ).where("parts > 1")
+    open_keys = cut(open_keys.groupBy("n", "mark0", "mark1").agg(F.min(F.struct("key", "rows", "most", "main")).alias("x")).select("x.*"))
     tiles = open_keys.select("key", "main", F.ceil(F.col("most") / TILE_LOAD).cast("int").alias("a"), F.greatest(F.lit(1), F.ceil((F.col("rows") - F.col("most")) / TILE_LOAD)).cast("int").alias("b"))
     open_rows = known.join(tiles, "key")
     hashed = F.xxhash64("rep")
@@ -400,20 +410,23 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
     meet = meet.join(vectors, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """The tile's rows that may link with another component's."""
+        """The tile's clusters of rows that may link with another component's."""
         for table in _streams(batches, ["key", "i", "j"]):
-            if table.num_rows > 1:
-                sizes = table.column("n").to_numpy()
-                good = survivors(unpack_points(table.column("point").to_pylist(), sizes), sizes, table.column("component").to_numpy(), threshold)
-                table = table.filter(pa.array(good))
-                if table.num_rows:
-                    yield {x: table.column(x) for x in ("rep", "component", "key", "i", "j")}
+            sizes, reps, own = (table.column(x).to_numpy() for x in ("n", "rep", "component"))
+            if len(reps) < 2:
+                continue
+            first = clusters(unpack_points(table.column("point").to_pylist(), sizes), sizes, own, threshold)
+            order = np.argsort(first, kind="stable")
+            for at in np.split(order, np.flatnonzero(np.diff(first[order])) + 1):
+                if len(at) > 1:
+                    name = int.from_bytes(hashlib.blake2b(np.sort(reps[at]).tobytes(), digest_size=8).digest(), "little", signed=True)
+                    yield {"cluster": np.full(len(at), name), "rep": reps[at], "component": own[at]}
 
-    left = cut(map_arrow(meet, near, "rep long, component long, key long, i int, j int"))
-    whole = left.join(sets, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    left = cut(map_arrow(meet, near, "cluster long, rep long, component long").distinct())
+    whole = left.join(sets, "rep").repartition("cluster").sortWithinPartitions("cluster", "rep")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for table in _streams(batches, ["key", "i", "j"]):
+        for table in _streams(batches, ["cluster"]):
             own = table.column("component").to_numpy()
             found = np.array(links_in(_grams(table.column("grams")), threshold, np.unique(own, return_inverse=True)[1]), np.int64).reshape(-1, 2)
             yield {"u": own[found[:, 0]], "v": own[found[:, 1]]}

@@ -129,8 +129,8 @@ def test_tree_finds_all_within_the_bound():
     fine = [ngram_join.pack_point(points([x], ngram_join.fine_groups(len(x)))[0]) for x in sets]
     counts = ngram_join.unpack_points(fine, sizes)
     assert (counts.sum(1) == sizes).all()
-    kept = ngram_join.survivors(counts, sizes, label, t)
-    assert {x for link in links for x in link} <= set(np.flatnonzero(kept).tolist())
+    first = ngram_join.clusters(counts, sizes, label, t)
+    assert all(first[i] == first[j] for i, j in links)
 
 
 def test_points_of_many_equal_hashes_keep_their_counts():
