@@ -37,7 +37,7 @@ LEXICON_WORDS = 1 << 16
 #: Longer words are neither compiled nor merged in a matrix.
 MATRIX_BYTES = 64
 #: Words whose ids a worker keeps: about 60 MB.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
 NONE = np.int32(2**31 - 1)
 
 #: Texts whose words can be cut by byte classes; others are cut with the vocabulary's pattern.
@@ -57,10 +57,23 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in set(kept) else chr(next(rest)) for b in range(256)]
 
 
+def _old_characters() -> np.ndarray:
+    """By code point, whether Unicode 3.2 has the character: how a text of such ones is normalised, cased and cut is the same in all later tables."""
+    global _OLD
+    if _OLD is None:
+        category = unicodedata.ucd_3_2_0.category
+        _OLD = np.array([category(chr(i)) not in ("Cn", "Cs") for i in range(0x110000)])
+    return _OLD
+
+
+_OLD: np.ndarray | None = None
+
+
 class Vocabulary:
     """Symbols, merge ranks and special tokens of a word-end BPE file, with an exact merge."""
 
     def __init__(self, path: str) -> None:
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as file:
             data = json.load(file)
         model = data["model"]
@@ -193,12 +206,27 @@ class Vocabulary:
         return [x for x, y in zip(ids, live, strict=True) if y]
 
     def pieces(self, text: str) -> list[str | int]:
-        """Any text's words after normalisation; special tokens as their ids."""
+        """Any text's words after normalisation; special tokens as their ids.
+
+        Tables of newer characters differ between this Python and the library, so texts that have some are
+        encoded by the library, and their ids stand for words.
+        """
+        if not _old_characters()[np.frombuffer(text.encode("utf-32-le"), "<u4")].all():
+            return self._by_library(text)
         parts = self.special_pattern.split(text)
         if len(parts) > 1:
             return list(chain.from_iterable([self.special[x]] if x in self.special else self.pieces(x) for x in parts if x))
         return _PIECES.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
+    def _by_library(self, text: str) -> list[str | int]:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.no_truncation()
+            self.library.no_padding()
+        return list(self.library.encode(text, add_special_tokens=False).ids)
+
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text: the vocabulary has no decoder, so its symbols joined by spaces."""
         return b" ".join(map(self.names.__getitem__, ids.tolist()))
@@ -249,6 +277,15 @@ class Pieces:
     def hashes(self) -> np.ndarray:
         return span_hashes(self.buffer, self.starts, self.ends)
 
+    def differ(self, first: np.ndarray, inverse: np.ndarray) -> bool:
+        """Whether some word isn't byte for byte the one that its hash stands for."""
+        size = self.ends - self.starts
+        if (size != size[first][inverse]).any():
+            return True
+        data = np.frombuffer(self.buffer, np.uint8)
+        step = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        return bool((data[np.repeat(self.starts, size) + step] != data[np.repeat(self.starts[first][inverse], size) + step]).any())
+
     def words(self, at: np.ndarray) -> list[bytes]:
         return [self.buffer[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True)]
 
@@ -256,7 +293,7 @@ class Pieces:
 class Encoder:
     """Texts to ids: a bounded table of words met, then the lexicon if any, then exact merges.
 
-    Words met are found again by a 64-bit hash and their length.
+    Words met are found again by a 64-bit hash, and their bytes are compared.
     """
 
     def __init__(self, path: str, lexicon: Transducer | None = None) -> None:
@@ -267,12 +304,13 @@ class Encoder:
 
     def _reset(self) -> None:
         self.known = np.empty(0, np.uint64)
-        self.known_at = np.empty((0, 2), np.int64)
+        self.known_at = np.empty((0, 3), np.int64)  # place and number of the ids, number of the word
+        self.met: list[bytes] = []
         self.pool = np.empty(1 << 20, "<u4")
         self.used = 0
 
-    def _new(self, hashes: np.ndarray, words: list[bytes]) -> None:
-        """Adds words that weren't met: by the lexicon, or merged."""
+    def _ids_of(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids: by the lexicon, or merged."""
         found = self.lexicon.lookup(words) if self.lexicon is not None else [None] * len(words)
         for i, word in enumerate(words):
             if word[:1] == b"\x1c" and word[1:].isdigit():
@@ -281,12 +319,18 @@ class Encoder:
         self.merged_words += len(rest)
         for i, ids in zip(rest, self.vocabulary.merge([words[i] for i in rest]), strict=True):
             found[i] = ids
+        return found
+
+    def _new(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Adds words that weren't met."""
+        found = self._ids_of(words)
         ids = np.frombuffer(b"".join(found), "<u4")
         sizes = np.array([len(x) // 4 for x in found])
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty(len(self.pool), "<u4")])
         self.pool[self.used : self.used + len(ids)] = ids
-        at = np.stack([self.used + np.cumsum(sizes) - sizes, sizes], 1)
+        at = np.stack([self.used + np.cumsum(sizes) - sizes, sizes, len(self.met) + np.arange(len(words))], 1)
+        self.met += words
         self.used += len(ids)
         where = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, where, hashes)
@@ -302,13 +346,18 @@ class Encoder:
             pieces = Pieces(self.vocabulary, group)
             unique, first, inverse = np.unique(pieces.hashes(), return_index=True, return_inverse=True)
             at, good = self._find(unique)
+            here = np.flatnonzero(good)
+            known = [self.met[i] for i in self.known_at[at[here], 2].tolist()]
+            if pieces.differ(first, inverse) or known != pieces.words(first[here]):
+                yield from self._without_hashes(pieces)
+                continue
             if not good.all():
                 if len(self.known) + (~good).sum() > CACHE_WORDS:
                     self._reset()
                     good[:] = False
                 self._new(unique[~good], pieces.words(first[~good]))
                 at, good = self._find(unique)
-            offset, size = self.known_at[at[inverse]].T if len(unique) else np.empty((2, 0), np.int64)
+            offset, size = self.known_at[at[inverse], :2].T if len(unique) else np.empty((2, 0), np.int64)
             after = np.cumsum(size)
             ids = self.pool[np.repeat(offset - after + size, size) + np.arange(after[-1] if len(after) else 0)]
             cuts = np.concatenate([[0], after])[pieces.text_at].tolist()
@@ -316,6 +365,15 @@ class Encoder:
                 yield ids[a:b]
 
 
+    def _without_hashes(self, pieces: Pieces) -> Iterator[np.ndarray]:
+        """The same where two words share a hash."""
+        words = pieces.words(np.arange(len(pieces.starts)))
+        different = sorted(set(words))
+        ids = dict(zip(different, self._ids_of(different), strict=True))
+        for a, b in zip(pieces.text_at.tolist(), pieces.text_at.tolist()[1:], strict=False):
+            yield np.frombuffer(b"".join(ids[x] for x in words[a:b]), "<u4")
+
+
 def _groups(texts: list[str]) -> Iterator[list[str]]:
     """Texts in groups of about a million characters."""
     group: list[str] = []

@@ -70,3 +70,28 @@ def test_lexicon_has_the_most_frequent_words(spark, vocabulary_path):
     docs = spark.createDataFrame([(1, "b b b b b b b b a a a a c"), (2, "B")], "doc_id long, text string")
     found = {r.word: r.n for r in bpe.frequent_words(docs, vocabulary_path, 2).collect()}
     assert found == {"b": 9, "a": 4}
+
+
+def test_random_strings_over_all_code_points(vocabulary_path, library):
+    """Whatever the characters, newer ones than the library's tables and combining ones too, ids are the library's."""
+    rng = random.Random(3)
+
+    def character():
+        while True:
+            c = rng.choice([rng.randrange(0x110000), rng.randrange(0x3000), rng.randrange(0x300, 0x370), rng.randrange(0x900, 0x1000), rng.randrange(128)])
+            if not 0xD800 <= c < 0xE000:
+                return chr(c)
+
+    texts = ["຺҆", "̰৾", "೜", "Ᲊx", "Ɤ"] + ["".join(character() for _ in range(rng.randrange(1, 30))) for _ in range(50_000)]
+    for text, ids in zip(texts, bpe.Encoder(vocabulary_path).encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_that_share_a_hash(vocabulary_path, monkeypatch):
+    """Bytes decide, not hashes: words of one length are given one hash here."""
+    texts = ["the cat sat on the mat", "a dog dug a pit, the pig hid", "the cat"] * 3
+    want = [x.tolist() for x in bpe.Encoder(vocabulary_path).encode(texts)]
+    monkeypatch.setattr(bpe.Pieces, "hashes", lambda self: (self.ends - self.starts).astype("u8"))
+    own = bpe.Encoder(vocabulary_path)
+    assert [x.tolist() for text in texts for x in own.encode([text])] == want
+    assert [x.tolist() for x in own.encode(texts)] == want
