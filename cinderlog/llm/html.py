@@ -57,7 +57,11 @@ _ROLES = frozenset(
     "nav navbar navigation menu header masthead footer sidebar aside cookie cookies consent notice notices banner ad ads advert adverts advertisement sponsor sponsored promo promotion "
     "share sharing social comment comments respond disqus breadcrumb breadcrumbs related recommended newsletter subscribe subscription signup login popup modal overlay pagination pager skip widget toolbar".split()
 )
+#: Words that say nothing by themselves: with a role's name they make up names such as share-bar.
+_NEUTRAL = frozenset("bar box list links link block container wrap wrapper section area panel item items inner outer group row buttons button icons site page top bottom main left right the".split())
 _ARIA = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|/|$)", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -69,13 +73,21 @@ class Node:
         self.children: list[Node | str] = []
 
 
+def _names_role(names: str) -> bool:
+    """Whether a class or id says that its element isn't content: post-header and related-work don't, share-bar does."""
+    for name in names.split():
+        words = {x.lower() for x in _WORDS.findall(name)}
+        if words & _ROLES and words <= _ROLES | _NEUTRAL:
+            return True
+    return False
+
+
 def _element(tag: str, raw: str) -> Node:
     attributes = {m[1].lower(): m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] for m in _ATTRIBUTE.finditer(raw)} if raw.strip() else {}
     names, role = f"{attributes.get('class', '')} {attributes.get('id', '')}".strip(), attributes.get("role", "").lower()
-    words = {x.lower() for x in _WORDS.findall(names)}
     main = tag in ("article", "main") or role in ("main", "article")
-    hidden = re.search(r"(^|\s)hidden(\s|=|/|$)", raw) is not None or "display:none" in attributes.get("style", "").replace(" ", "").lower()
-    dropped = tag in _DROPPED or role in _ARIA or bool(words & _ROLES and tag not in ("body", "html")) or hidden
+    hidden = bool(attributes) and _HIDDEN.search(_QUOTED.sub("\"\"", raw)) is not None or raw.strip().lower() == "hidden" or "display:none" in attributes.get("style", "").replace(" ", "").lower()
+    dropped = tag in _DROPPED or role in _ARIA or tag not in ("body", "html") and _names_role(names) or hidden
     return Node(tag, names, dropped, main and not dropped)
 
 

@@ -70,3 +70,17 @@ def test_the_test_tables(spark):
         article = re.search(r"(?s)<article>(.*?)</article>", r.html)[1]
         plain = re.sub(r"<[^>]*>", "\n", re.sub(r"</?b>", "", article))
         assert r.text == " ".join(unescape(plain).split())
+
+
+def test_names_and_attributes():
+    """Only whole names of roles count, and hidden only as an attribute."""
+    page = (
+        '<article><p title="the hidden cost of x">one</p><div class="post-header"><h1>two</h1></div><p id="related-work">three</p><p class="social-science">four</p>'
+        '<p hidden>no</p><p class="x" hidden="">no</p><div class="share-bar">no</div><div id="cookieNotice">no</div></article>'
+    )
+    assert html.main_text(html.parse(page), set()) == "one two three four"
+
+
+def test_a_very_long_page():
+    page = "<article>" + "".join(f"<p>line {i}</p>" for i in range(60_000)) + "</article>"
+    assert html.main_text(html.parse(page), set()) == " ".join(f"line {i}" for i in range(60_000))
