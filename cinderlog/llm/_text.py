@@ -21,10 +21,13 @@ ASCII_SPACE = b" \t\n\r\x0b\x0c"
 def work_dir(spark: SparkSession) -> str:
     """A new folder name under the shared folder in spark.checkpoint.dir.
 
-    Where the setting is absent (tests in one JVM), a folder of this machine is used.
+    Where the setting is absent, a folder of this machine is used in local mode (tests in
+    one JVM); on a cluster that is an error, as executors don't share such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/cinderlog-work"
     return f"{base.rstrip('/')}/cinderlog-{uuid.uuid4().hex}"
 

@@ -19,7 +19,7 @@ the joins, so no task gathers all occurrences.
 
 Cases: null text is empty and keeps nothing to remove; a null doc_id comes after all
 others; rows that repeat a doc_id are told apart by their text's hash; rows that repeat
-both count as copies of each other, all but one lose their repeated chunks; chunks
+both are one document, and each gets what the first of them keeps; chunks
 without a word are never removed; one line alone is never removed, but for long ones with
 `extend`; an empty table gives an empty result; texts are read whole; other columns are ignored.
 """
@@ -121,7 +121,6 @@ def removed_chunks(documents: DataFrame) -> DataFrame:
 
     parts = cut(map_arrow(texts, bytes_of, "doc_id long, mark long, chunk int, digest binary, is_first boolean, part binary"))
     originals = parts.where("is_first").groupBy("digest").agg(F.first("part").alias("original"))
-    # repeated rows share the first place: the rows beyond one are removed by removed_rows
     return parts.where("NOT is_first").join(originals, "digest").where("part = original").select("doc_id", "mark", "chunk").distinct()
 
 

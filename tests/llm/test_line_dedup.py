@@ -81,3 +81,11 @@ def test_odd_documents(odd_documents, no_documents):
 def test_odd_documents_with_extend(odd_documents, no_documents):
     assert line_dedup.clean(odd_documents, extend=True).count() == odd_documents.count()
     assert line_dedup.clean(no_documents, extend=True).count() == 0
+
+
+def test_repeated_rows_are_one_document(spark):
+    """Rows that repeat doc_id and text, and rows without an id, each get what the first of them keeps."""
+    text = "\n".join(f"line {i} of a passage" for i in range(6))
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, text)]
+    found = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string"), extend=True).collect()
+    assert sorted((str(r.doc_id), r.n_removed_lines) for r in found) == [("1", 0), ("1", 0), ("2", 6), ("None", 6), ("None", 6)]
