@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cinderlog.functions import regex
+from cinderlog.functions.numbers import rounded
 from cinderlog.operators.recommend import clamp, sanitised
 from cinderlog.settings import DEFAULTS, Settings
 
@@ -19,7 +20,7 @@ def calibrated(raw: Column, source: Column, rule_confidence: Column, category: C
     score = F.when(F.coalesce(is_known, F.lit(False)), F.least(F.lit(0.98), score + 0.08)).otherwise(score)
     score = F.when(retrieved & ~used, F.least(score, F.lit(0.85))).otherwise(score)
     score = F.when(category == "UNKNOWN", F.least(score, F.lit(0.70))).otherwise(score)
-    return F.round(score, 3)
+    return rounded(score, 3)
 
 
 def valid_evidence(items: Column) -> Column:

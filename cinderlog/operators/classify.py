@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cinderlog import rules
 from cinderlog.functions import regex
+from cinderlog.functions.numbers import rounded
 from cinderlog.settings import DEFAULTS, Settings
 
 RESULT = "struct<category:string,subcategory:string,confidence:double,source:string,matched_rules:array<string>>"
@@ -54,7 +55,7 @@ def classify_rules(df: DataFrame, column: str, out: str = "classification", caus
     strongest = F.array_max(F.transform(own, lambda x: F.struct(x["score"].alias("score"), (-x["idx"]).alias("first"), x["subcategory"].alias("subcategory"))))
     rivals = F.filter("__scores", lambda x: ~x["category"].isin(*rules.SYMPTOMS) | best["category"].isin(*rules.SYMPTOMS))
     total = F.aggregate(rivals, F.lit(0.0), lambda a, x: a + x["score"])
-    confidence = F.round(F.least(F.lit(0.98), F.try_divide(best["score"], total) * F.least(best["score"], F.lit(1.0))), 3)
+    confidence = rounded(F.least(F.lit(0.98), F.try_divide(best["score"], total) * F.least(best["score"], F.lit(1.0))), 3)
     names = F.array_sort(F.array_distinct(F.transform(hits, lambda x: F.concat(x["category"], F.lit("/"), x["subcategory"]))))
     none = F.array().cast("array<string>")
     some = F.size(hits) > 0
@@ -113,6 +114,15 @@ def classify_model(df: DataFrame, model: PipelineModel, out: str = "ml") -> Data
     return scored.withColumn(out, value).select(*df.columns, out)
 
 
+def load_model(path: str) -> PipelineModel | None:
+    """The model at a path, or none: without a readable one the rules decide alone."""
+    try:
+        model = PipelineModel.load(path)
+    except Exception:  # noqa: BLE001
+        return None
+    return model if hasattr(model.stages[0], "labels") else None
+
+
 def classify(df: DataFrame, column: str, out: str = "classification", model: PipelineModel | None = None, text: str = "text") -> DataFrame:
     """Rules, with the model's help if there is one."""
     df = classify_rules(df, column, out)
@@ -122,6 +132,11 @@ def classify(df: DataFrame, column: str, out: str = "classification", model: Pip
     return scored.withColumn(out, cascade(F.col(out), F.col("__ml"))).select(*df.columns)
 
 
+def classifier_state(model: PipelineModel | None = None) -> dict:
+    """How many rules there are, and whether a model helps them."""
+    return {"rules": len(rules.CAUSES), "categories": rules.CATEGORIES, "model_loaded": model is not None}
+
+
 def classifier_catalog(spark: SparkSession) -> DataFrame:
     """What the classifier knows: a row for each rule."""
     rows = [(i, c.category, c.subcategory, c.weight) for i, c in enumerate(rules.CAUSES)]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderlog import rules
 from cinderlog.functions import regex
+from cinderlog.functions.numbers import rounded
 from cinderlog.settings import DEFAULTS, Settings
 
 
@@ -86,4 +87,4 @@ def extract(df: DataFrame, column: str = "cleaned", out: str = "extraction", set
 
 def reduction_ratio(original_chars: Column, excerpt_chars: Column) -> Column:
     """How much of a log the excerpt leaves out, to four decimals."""
-    return F.round(1 - excerpt_chars / F.greatest(original_chars, F.lit(1)), 4)
+    return rounded(1 - excerpt_chars / F.greatest(original_chars, F.lit(1)), 4)

@@ -7,6 +7,7 @@ left to tests.
 from __future__ import annotations
 
 from cinderlog import rules
+from cinderlog.functions.numbers import rounded_sql
 from cinderlog.plans.views import CI_LOGS, plain
 
 MARK = "\ue000"
@@ -102,7 +103,7 @@ def scored(source: str, column: str) -> str:
       sc AS (SELECT *, list_filter([{', '.join(cats)}], lambda x: x.score > 0) AS scores, list_filter([{', '.join(subs)}], lambda x: x.score > 0) AS found FROM s),
       b AS (SELECT *, list_sort(scores, 'DESC')[1] AS best FROM sc),
       cl AS (SELECT *, coalesce(best.category, 'UNKNOWN') AS category, list_sort(list_filter(found, lambda x: x.category = best.category), 'DESC')[1].subcategory AS subcategory,
-               CASE WHEN best IS NULL THEN 0.0 ELSE round(least(CAST(0.98 AS DOUBLE), best.score / list_sum(list_transform(list_filter(scores, lambda x: x.category NOT IN ({symptoms}) OR best.category IN ({symptoms})), lambda x: x.score)) * least(best.score, CAST(1 AS DOUBLE))), 3) END AS confidence,
+               CASE WHEN best IS NULL THEN 0.0 ELSE {rounded_sql(f"""least(CAST(0.98 AS DOUBLE), best.score / list_sum(list_transform(list_filter(scores, lambda x: x.category NOT IN ({symptoms}) OR best.category IN ({symptoms})), lambda x: x.score)) * least(best.score, CAST(1 AS DOUBLE)))""", 3)} END AS confidence,
                array_to_string(list_sort(list_distinct(list_transform(found, lambda x: x.category || '/' || x.subcategory))), ',') AS matched_rules FROM b)"""
 
 

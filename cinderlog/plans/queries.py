@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cinderlog import rules
 from cinderlog.functions import regex
+from cinderlog.functions.numbers import rounded_sql
 from cinderlog.functions.vector import cosine, shannon_entropy
 from cinderlog.operators import analyze, chunk, classify, extract, ledger, providers, recommend, redact, retrieve, signature
 from cinderlog.plans import duck, pipeline, views
@@ -81,7 +82,7 @@ def last_meaningful(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("log_id", extract.last_meaningful(F.split("cleaned", "\n", -1)).alias("message"))
 
 
-@query(_cte(duck.extracted, f"SELECT log_id, CAST(length(raw_log) AS BIGINT) AS original_chars, CAST(length({_EXCERPT}) AS BIGINT) AS excerpt_chars, round(1 - CAST(length({_EXCERPT}) AS DOUBLE) / greatest(length(raw_log), 1), 4) AS ratio FROM {{last}}"))
+@query(_cte(duck.extracted, f"SELECT log_id, CAST(length(raw_log) AS BIGINT) AS original_chars, CAST(length({_EXCERPT}) AS BIGINT) AS excerpt_chars, {rounded_sql(f'1 - CAST(length({_EXCERPT}) AS DOUBLE) / greatest(length(raw_log), 1)', 4)} AS ratio FROM {{last}}"))
 def reduction_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = extract.extract(extract.clean(logs(spark, sf_dir), "raw_log"))
     a, b = F.length("raw_log"), F.length("extraction.excerpt")
@@ -158,7 +159,7 @@ _ALL = [x.name for x in rules.REDACTIONS]
 _PLAIN = [x for x in _ALL if x != "aws_secret"]  # that one needs lookaround
 
 
-def _redact_sql(names: list[str], source: str = "(SELECT doc_id, text FROM documents WHERE lang = 'en') q", column: str = "text", key: str = "doc_id") -> str:
+def _redact_sql(names: list[str], source: str = "(SELECT doc_id, text FROM documents) q", column: str = "text", key: str = "doc_id") -> str:
     ctes, last = duck.redacted(source, column, names)
     order = sorted(names)
     kinds = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN k_{x} > 0 THEN '{x}' END" for x in order) + "], lambda x: x IS NOT NULL), ',')"
@@ -171,18 +172,18 @@ def _redacted(df: DataFrame, column: str, key: str, names: list[str], strict: bo
     return redact.redact(df, column, strict=strict, chain=chosen).select(key, r["count"].cast("long").alias("n"), F.array_join(r["types"], ",").alias("types"), F.sha2(r["text"], 256).alias("text_sha256"))
 
 
-def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("lang = 'en'")
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
 
 
 @query(_redact_sql(["email"]))
 def redact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _redacted(_english(spark, sf_dir), "text", "doc_id", ["email"])
+    return _redacted(_documents(spark, sf_dir), "text", "doc_id", ["email"])
 
 
 @query(_redact_sql(["env_secret"]))
 def redact_env_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _redacted(_english(spark, sf_dir), "text", "doc_id", ["env_secret"])
+    return _redacted(_documents(spark, sf_dir), "text", "doc_id", ["env_secret"])
 
 
 _TOKENS = [x for x in _PLAIN if x not in ("email", "env_secret")]
@@ -190,12 +191,12 @@ _TOKENS = [x for x in _PLAIN if x not in ("email", "env_secret")]
 
 @query(_redact_sql(_TOKENS))
 def redact_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _redacted(_english(spark, sf_dir), "text", "doc_id", _TOKENS)
+    return _redacted(_documents(spark, sf_dir), "text", "doc_id", _TOKENS)
 
 
 @query(_redact_sql(_PLAIN))
 def redaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _redacted(_english(spark, sf_dir), "text", "doc_id", _PLAIN)
+    return _redacted(_documents(spark, sf_dir), "text", "doc_id", _PLAIN)
 
 
 @query(_redact_sql(_PLAIN, f"({views.plain(views.CI_LOGS)}) q", "raw_log", "log_id"))
@@ -348,12 +349,12 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk.chunk_rows(_paragraphs(spark, sf_dir), "text", ["doc_id"])
 
 
-@query("""WITH p AS (SELECT doc_id, replace(trim(text, ' ' || chr(9) || chr(10)), chr(10), ' ') AS p FROM documents WHERE lang = 'en' AND length(trim(text, ' ' || chr(9) || chr(10))) > 600),
+@query("""WITH p AS (SELECT doc_id, replace(trim(text, ' ' || chr(9) || chr(10)), chr(10), ' ') AS p FROM documents WHERE length(trim(text, ' ' || chr(9) || chr(10))) > 600),
   s AS (SELECT doc_id, p, unnest(range(1, length(p) + 1, 500)) AS pos FROM p)
   SELECT doc_id, CAST((pos - 1) // 500 AS INTEGER) AS chunk_index, trim(substr(p, pos, 600), ' ' || chr(9) || chr(10)) AS content FROM s WHERE trim(substr(p, pos, 600), ' ' || chr(9) || chr(10)) <> ''""")
 def chunk_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as one paragraph each, longer than a chunk."""
-    one = _english(spark, sf_dir).withColumn("p", F.translate(regex.strip(F.col("text")), "\n", " ")).where(F.length("p") > 600)
+    one = _documents(spark, sf_dir).withColumn("p", F.translate(regex.strip(F.col("text")), "\n", " ")).where(F.length("p") > 600)
     return chunk.chunk_rows(one, "p", ["doc_id"]).select("doc_id", "chunk_index", "content")
 
 
@@ -378,7 +379,7 @@ _CAL = """least(1, greatest(0, value_)) AS s0 FROM (SELECT event_id, CASE WHEN e
 
 @query(f"""WITH a AS (SELECT event_id, {_CAL}), b AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN least(CAST(0.97 AS DOUBLE), s0 + CAST(0.05 AS DOUBLE)) ELSE s0 END AS s FROM a),
   c AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN least(CAST(0.98 AS DOUBLE), s + CAST(0.08 AS DOUBLE)) ELSE s END AS s FROM b), d AS (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN least(s, CAST(0.85 AS DOUBLE)) ELSE s END AS s FROM c)
-  SELECT event_id, round(CASE WHEN event_id % 7 = 0 THEN least(s, CAST(0.7 AS DOUBLE)) ELSE s END, 3) AS confidence FROM d""")
+  SELECT event_id, {rounded_sql('CASE WHEN event_id % 7 = 0 THEN least(s, CAST(0.7 AS DOUBLE)) ELSE s END', 3)} AS confidence FROM d""")
 def calibrate_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("event_id")
     raw = F.when(i % 11 == 0, "not a number").otherwise((i % 140 / 100).cast("string"))
