@@ -84,6 +84,19 @@ def knowledge(chunks: DataFrame, documents: DataFrame, vector: list[float], team
     return rows.orderBy(order, F.col("__s").desc(), "document_id", "chunk_index").limit(limit).select("document_id", "chunk_index", "title", "content", F.round("__s", 4).alias("similarity"))
 
 
+def knowledge_batch(chunks: DataFrame, documents: DataFrame, queries: DataFrame, limit: int | None = None, threshold: float | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """knowledge for every row of queries (query_id, team_id, project_id, vector), with its rank."""
+    k = limit or settings.max_knowledge_seeds
+    docs = documents.where("is_active").select(F.col("id").alias("document_id"), "title", F.col("project_id").alias("__project"))
+    q = queries.select("query_id", "team_id", "project_id", as_sent(F.col("vector")).alias("__v"))
+    rows = chunks.select("document_id", "chunk_index", "team_id", "content", "embedding").join(docs, "document_id").join(q, "team_id")
+    rows = rows.where(F.col("project_id").isNull() | F.col("__project").isNull() | (F.col("__project") == F.col("project_id"))).withColumn("__s", cosine(F.col("embedding"), F.col("__v")))
+    rows = rows.where(F.col("__s") >= (settings.knowledge_threshold if threshold is None else threshold))
+    order = [(F.col("__project") == F.col("project_id")).desc_nulls_first(), F.col("__s").desc(), F.col("document_id"), F.col("chunk_index")]
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "document_id", "chunk_index", "title", "content", F.round("__s", 4).alias("similarity"))
+
+
 def lookup_pairs(chunks: DataFrame, documents: DataFrame, pairs: DataFrame) -> DataFrame:
     """Chunks named by (document_id, chunk_index) whose document is active."""
     found = chunks.join(pairs.select("document_id", "chunk_index"), ["document_id", "chunk_index"], "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -44,12 +45,60 @@ def similar(requests: DataFrame, corpus: DataFrame, encoder: Callable[[], chunk.
     return retrieve.similar_batch(corpus, queries.select("query_id", "team_id", "vector", "category", F.col("exclude_failure_id").alias("exclude_id")), settings=settings)
 
 
-def analyze(requests: DataFrame, signatures: DataFrame, teams: DataFrame | None = None, ledger_rows: DataFrame | None = None, as_of: Column | None = None, similar_of: DataFrame | None = None, model: PipelineModel | None = None, make_provider: Callable[[], providers.Provider] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+@dataclass(frozen=True)
+class Sources:
+    """What retrieval inside an analysis looks through; embeddings are of `encoder`."""
+
+    corpus: DataFrame | None = None
+    chunks: DataFrame | None = None
+    documents: DataFrame | None = None
+    encoder: Callable[[], chunk.Encoder] = chunk.HashedEncoder
+
+
+_SIMILAR = "array<struct<similarity:double,project_name:string,resolution:string>>"
+_KNOWLEDGE = "array<struct<title:string,content:string,similarity:double>>"
+
+
+def retrieved(requests: DataFrame, sources: Sources, settings: Settings = DEFAULTS) -> DataFrame:
+    """request_id, similar, knowledge of the requests for which something is found.
+
+    requests: request_id, team_id, project_id, category, error_message, ecosystem, job_name.
+    Similar failures, and the knowledge chunks most like category and error with those around them.
+    """
+    asked = requests.withColumnRenamed("request_id", "query_id")
+    found = asked.select(F.col("query_id").alias("request_id"))
+    if sources.corpus is not None:
+        rows = similar(asked.withColumn("exclude_failure_id", F.lit(None).cast("long")), sources.corpus, sources.encoder, settings)
+        rows = rows.groupBy(F.col("query_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "similarity", "project_name", "resolution"))).alias("similar"))
+        found = found.join(rows, "request_id", "left")
+    else:
+        found = found.withColumn("similar", F.lit(None))
+    if sources.chunks is not None and sources.documents is not None:
+        text = asked.withColumn("__text", chunk.knowledge_query(F.col("category"), F.col("error_message"), settings))
+        queries = chunk.embed(text, "__text", "vector", sources.encoder, settings)
+        seeds = retrieve.knowledge_batch(sources.chunks, sources.documents, queries, settings=settings)
+        rows = retrieve.expand_neighbours(seeds, sources.chunks, sources.documents, settings)
+        rows = rows.groupBy(F.col("query_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("position", "title", "content", "similarity"))).alias("knowledge"))
+        found = found.join(rows, "request_id", "left")
+    else:
+        found = found.withColumn("knowledge", F.lit(None))
+    pick = lambda c, names: F.transform(c, lambda x: F.struct(*(x[n].alias(n) for n in names)))
+    return found.select(
+        "request_id", pick(F.col("similar").cast("array<struct<rank:int,similarity:double,project_name:string,resolution:string>>"), ("similarity", "project_name", "resolution")).alias("similar"),
+        pick(F.col("knowledge").cast("array<struct<position:int,title:string,content:string,similarity:double>>"), ("title", "content", "similarity")).alias("knowledge"),
+    )
+
+
+def analyze(requests: DataFrame, signatures: DataFrame, teams: DataFrame | None = None, ledger_rows: DataFrame | None = None, as_of: Column | None = None, sources: Sources | None = None, model: PipelineModel | None = None, make_provider: Callable[[str | None], providers.Provider] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """request_id, analysis, status of each request (request_id and the request's fields).
 
     Requests of known signatures and those that want no model are split off by filters before
-    a prompt is built, so a provider is asked for the others only. similar_of: request_id,
-    similar (array). A team over its budget gets status "budget_exceeded" and no model's answer.
+    a prompt is built, so a provider is asked for the others only. Retrieval looks through
+    `sources` for requests that want it and whose signature has no known resolution; where it
+    can't be done, the analysis goes on without. A team over its budget gets status
+    "budget_exceeded" and no model's answer; a provider's failure gives status
+    "provider_error" and the rules' answer. make_provider: a provider for a request's
+    llm_override (JSON or null).
     """
     fields = [c for c in requests.columns if c != "request_id"]
     df = redact.redact(requests, "log_excerpt", "__r", settings.strict_redaction, settings=settings)
@@ -58,19 +107,26 @@ def analyze(requests: DataFrame, signatures: DataFrame, teams: DataFrame | None
     df = classify.classify(df, "__basis", "__c", model)
     df = df.withColumns({"__request": regex.sealed(F.struct(*fields)), "signature_hash": F.col("failure.signature_hash")})
     df = retrieve.signature_history(df, signatures)
-    if similar_of is not None:
-        df = df.join(similar_of, "request_id", "left")
-    else:
-        df = df.withColumn("similar", F.array().cast("array<struct<similarity:double,project_name:string,resolution:string>>"))
     history, wants_rag = F.col("history"), F.coalesce(F.col("use_rag"), F.lit(True))
     df = df.withColumns({
         "__known": wants_rag & F.coalesce(history["is_known"], F.lit(False)),
-        "__used": wants_rag & (history.isNotNull() | (F.coalesce(F.size("similar"), F.lit(0)) > 0)),
         "__asks": F.coalesce(F.col("use_llm"), F.lit(True)),
         "__rag": wants_rag,
     })
     df = df.withColumn("__short", F.col("__known") & (F.col("__c.confidence") >= 0.85) & ~F.coalesce(F.col("force_llm"), F.lit(False)))
-    df = materialised(df.select("request_id", "team_id", "__request", "__c", "__excerpt", "history", "similar", "__used", "__short", "__asks", "__rag"))  # four branches read it
+    df = materialised(df.select("request_id", "team_id", "__request", "__c", "__excerpt", "history", "__known", "__short", "__asks", "__rag"))  # the branches read it
+    if sources is not None:
+        r = F.col("__request")
+        looks = df.where("__rag AND NOT __known").select(
+            "request_id", "team_id", r["project"]["id"].alias("project_id"), F.col("__c.category").alias("category"), F.coalesce(regex.nonempty(regex.strip(r["error_block"])), F.col("__excerpt"), F.lit("")).alias("error_message"),
+            r["failure"]["ecosystem"].alias("ecosystem"), r["job"]["name"].alias("job_name"),
+        )
+        context, _ = retrieve.safely(lambda: materialised(retrieved(looks, sources, settings)), df.select("request_id", F.lit(None).cast(_SIMILAR).alias("similar"), F.lit(None).cast(_KNOWLEDGE).alias("knowledge")).limit(0))
+        df = df.join(context, "request_id", "left")
+    else:
+        df = df.withColumns({"similar": F.lit(None).cast(_SIMILAR), "knowledge": F.lit(None).cast(_KNOWLEDGE)})
+    some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    df = df.withColumn("__used", F.col("__rag") & (F.col("history").isNotNull() | some("similar") | some("knowledge")))
     request, c, wants_rag = F.col("__request"), F.col("__c"), F.col("__rag")
     known = df.where("__short").select("request_id", answers.known_answer(request, c, history).alias("analysis"), F.lit("known_signature").alias("status"))
     plain = df.where("NOT __short AND NOT __asks").select("request_id", answers.rules_answer(c, F.col("__used")).alias("analysis"), F.lit("rules").alias("status"))
@@ -81,16 +137,22 @@ def analyze(requests: DataFrame, signatures: DataFrame, teams: DataFrame | None
         rest = rest.join(budget, "team_id", "left")
         over = rest.where(F.col("__budget") == "exceeded").select("request_id", answers.rules_answer(c, F.col("__used")).alias("analysis"), F.lit("budget_exceeded").alias("status"))
         rest = rest.where(F.coalesce(F.col("__budget") != "exceeded", F.lit(True)))
-    rest = rest.withColumn("__prompt", prompt.render("__request", "__c", F.col("__excerpt"), F.col("similar"), None, history))
+    rest = rest.withColumn("__prompt", prompt.render("__request", "__c", F.col("__excerpt"), F.col("similar"), F.col("knowledge"), history))
+    failed = None
     if make_provider is None:
         rest = providers.stub(rest, "__prompt", "__answer")
         usage = F.col("__answer_usage")
     else:
-        rest = providers.complete(rest, "__prompt", make_provider, "__text").withColumn("__answer", providers.salvage(F.col("__text")))
-        usage = F.struct(F.lit(make_provider().name).alias("provider"), F.lit("").alias("model"), F.floor(F.length("__prompt") / 4).alias("prompt_tokens"), F.floor(F.length("__text") / 4).alias("completion_tokens"), F.lit(0.0).alias("cost_usd"))
+        rest = rest.withColumn("__override", F.col("__request.llm_override").cast("string"))
+        rest = materialised(providers.complete(rest, "__prompt", make_provider, "__reply", "__override"))  # a prompt is asked once
+        failed = rest.where("__reply.error_kind IS NOT NULL").select("request_id", answers.rules_answer(c, F.col("__used")).alias("analysis"), F.lit("provider_error").alias("status"))
+        rest = rest.where("__reply.error_kind IS NULL").withColumn("__answer", providers.salvage(F.col("__reply.text")))
+        usage = F.col("__reply")
     asked = rest.select("request_id", answers.model_answer(request, c, history, wants_rag, F.col("__used"), F.col("__answer"), usage, settings).alias("analysis"), F.lit("model").alias("status"))
     out = known.unionByName(plain).unionByName(asked)
-    return out.unionByName(over) if over is not None else out
+    for more in (over, failed):
+        out = out.unionByName(more) if more is not None else out
+    return out
 
 
 def service_info(settings: Settings = DEFAULTS) -> dict:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -481,10 +482,20 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return built
 
 
+def _sources(spark: SparkSession, sf_dir: str) -> pipeline.Sources:
+    """Failures and knowledge chunks with embeddings of the stand-in encoder, of which requests' are."""
+    v = lambda sql: views.view(spark, sf_dir, sql)
+    encoder = partial(chunk.HashedEncoder, 64)
+    failures = v(views.FAILURES)
+    embedded = chunk.embed(failures.select(F.col("id").alias("failure_id"), (F.col("project_id") % 5).alias("team_id"), "error_message"), "error_message", encoder=encoder).drop("error_message")
+    chunks = chunk.embed(v(views.KNOWLEDGE_CHUNKS).drop("embedding"), "content", encoder=encoder)
+    return pipeline.Sources(retrieve.failure_corpus(embedded, failures, v(views.PROJECTS), v(views.SIGNATURES)), chunks, v(views.KNOWLEDGE_DOCUMENTS), encoder)
+
+
 @query()
 def analyze_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every log as a request, answered by history, by the rules or by the canned provider."""
     teams = views.view(spark, sf_dir, views.TEAMS).withColumn("monthly_ai_budget_usd", F.col("monthly_ai_budget_usd").cast("double"))
-    found = pipeline.analyze(requests(spark, sf_dir), views.view(spark, sf_dir, views.SIGNATURES), teams, views.view(spark, sf_dir, views.AI_REQUESTS), F.lit(views.AS_OF).cast("timestamp"))
+    found = pipeline.analyze(requests(spark, sf_dir), views.view(spark, sf_dir, views.SIGNATURES), teams, views.view(spark, sf_dir, views.AI_REQUESTS), F.lit(views.AS_OF).cast("timestamp"), _sources(spark, sf_dir))
     a = F.col("analysis")
     return found.select("request_id", "status", a["category"].alias("category"), a["severity"].alias("severity"), a["confidence"].alias("confidence"), a["usage"]["provider"].alias("provider"), F.size(a["evidence"]).alias("n_evidence"), F.size(a["recommendations"]).alias("n_recommendations"))

@@ -186,3 +186,7 @@ PROVIDER_ERRORS = [
     ("timeout", "AI_PROVIDER_TIMEOUT", 504, True, ("timeout", "deadline")),
 ]
 PROVIDER_ERROR_ELSE = ("unavailable", "AI_PROVIDER_ERROR", 503, True)
+
+# What an answer must hold, and the kinds of evidence.
+ANSWER_REQUIRED = ["category", "severity", "confidence", "summary", "root_cause"]
+EVIDENCE_TYPES = ["log_line", "changed_file", "historical_failure", "metric", "config", "commit", "doc"]

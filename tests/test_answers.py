@@ -135,23 +135,139 @@ def test_salvage_and_errors(spark):
         assert one(spark, providers.error_kind(F.lit(message))).kind == kind
 
 
-def test_fallback_provider():
+def fixed(*args):
+    """A provider with one answer or failure; its class is local, so workers needn't import this file."""
+
     class Fixed:
-        def __init__(self, name, fails=None):
-            self.name, self.fails = name, fails
+        def __init__(self, name, fails=None, price=0.0):
+            self.name, self.fails, self.price = name, fails, price
 
-        def complete(self, prompts):
+        def ask(self, prompt):
             if self.fails:
                 raise providers.ProviderError(self.fails)
-            return [self.name] * len(prompts)
+            return providers.Reply('{"category": "TEST", "summary": "s", "confidence": 0.6}', "m", self.name, 1000, 100)
+
+        def cost(self, a, b):
+            return (a + b) * self.price
 
-    assert providers.FallbackProvider(Fixed("a"), Fixed("b")).complete(["x"]) == ["a"]
+    return Fixed(*args)
+
+
+def test_fallback_provider():
+    assert providers.FallbackProvider(fixed("a"), fixed("b")).ask("x").fell_back_from is None
     for kind in providers.RETRYABLE:
-        p = providers.FallbackProvider(Fixed("a", kind), Fixed("b"))
-        assert p.complete(["x", "y"]) == ["b", "b"]
-        assert p.fell_back == 1
+        p = providers.FallbackProvider(fixed("a", kind, 2.0), fixed("b"))
+        r = p.ask("x")
+        assert (r.provider, r.fell_back_from, p.cost(1, 1)) == ("b", "a", 4.0)
+    for kind in ("auth", "invalid"):
+        with pytest.raises(providers.ProviderError):
+            providers.FallbackProvider(fixed("a", kind), fixed("b")).ask("x")
+
+
+def test_provider_settings():
+    env = {"LLM_PROVIDER": "gemini", "GEMINI_API_KEY": "env", "GEMINI_MODEL": "g"}
+    assert providers.spec_of(None).kind == "stub"
+    assert (providers.spec_of(None, env).kind, providers.spec_of(None, env).api_key) == ("gemini", "env")
+    own = providers.spec_of('{"provider": "azure_openai", "api_key": "k", "model": "m", "input_cost_per_1k": 0.5, "fallback": {"provider": "ollama"}}', env)
+    assert (own.kind, own.api_key, own.model, own.input_cost_per_1k, own.fallback.kind) == ("openai", "k", "m", 0.5, "ollama")
+    assert providers.spec_of({"provider": "gemini"}, env, allow_environment=False).api_key == ""
+    for bad in ('{"provider": "none"}', "no json", "[1]"):
+        with pytest.raises(providers.ProviderError):
+            providers.spec_of(bad)
     with pytest.raises(providers.ProviderError):
-        providers.FallbackProvider(Fixed("a", "auth"), Fixed("b")).complete(["x"])
+        providers.spec_of(None, allow_stub=False)
+
+
+def test_http_providers():
+    """Requests, answers, repeated attempts and prices, with a transport of our own."""
+    sent, waits = [], []
+    answers = {
+        "gemini": {"candidates": [{"content": {"parts": [{"text": '{"category": "TEST"}'}]}}], "usageMetadata": {"promptTokenCount": 2000, "candidatesTokenCount": 100, "thoughtsTokenCount": 400}},
+        "openai": {"choices": [{"message": {"content": '{"category": "TEST"}'}}], "usage": {"prompt_tokens": 2000, "completion_tokens": 500}},
+        "ollama": {"response": '{"category": "TEST"}', "prompt_eval_count": 2000, "eval_count": 500},
+    }
+    for kind, answer in answers.items():
+        def send(url, headers, body, seconds, answer=answer):  # noqa: ANN001, ANN202
+            sent.append((url, headers, body))
+            return answer
+
+        p = providers.HttpProvider(providers.Spec(kind, "m", "k", "http://h/", 0.1, 0.2), send)
+        r = p.ask("why?")
+        assert (r.text, r.prompt_tokens, r.completion_tokens, p.cost(r.prompt_tokens, r.completion_tokens)) == ('{"category": "TEST"}', 2000, 500, 0.3)
+    assert [x[0] for x in sent] == ["http://h/models/m:generateContent", "http://h/chat/completions", "http://h/api/generate"]
+    assert sent[0][1] == {"x-goog-api-key": "k"}
+    assert sent[1][1] == {"Authorization": "Bearer k"}
+    assert sent[1][2]["response_format"]["json_schema"]["schema"]["required"] == ["category", "severity", "confidence", "summary", "root_cause"]
+    for message, kind, tries in (("429 too many", "rate_limit", 3), ("deadline exceeded", "timeout", 3), ("401 unauthorized", "auth", 1), ("500 oops", "unavailable", 1)):
+        calls = []
+
+        def fail(*_, message=message, calls=calls):  # noqa: ANN002, ANN202
+            calls.append(1)
+            raise OSError(message)
+
+        with pytest.raises(providers.ProviderError) as e:
+            providers.HttpProvider(providers.Spec("openai", "m"), fail, waits.append).ask("x")
+        assert (e.value.kind, len(calls)) == (kind, tries)
+    assert waits == [2.0, 4.0, 2.0, 4.0]
+    with pytest.raises(providers.ProviderError) as e:
+        providers.HttpProvider(providers.Spec("ollama", "m"), lambda *_: {"response": "sorry"}).ask("x")
+    assert e.value.kind == "invalid"
+
+
+def test_verify_records(spark):
+    def send(url, headers, body, seconds):  # noqa: ANN001, ANN202
+        if "bad" in url:
+            raise OSError("401 unauthorized")
+        return {"models": [{"name": "m"}]} if body is None else {"response": "{}"}
+
+    good, bad = providers.Spec("ollama", "m", base_url="http://good"), providers.Spec("openai", "m", base_url="http://bad")
+    assert providers.verify(good, send)["ok"]
+    assert not providers.verify(bad, send)["ok"]
+    assert "has no model" in providers.verify(providers.Spec("ollama", "x", base_url="http://good"), send)["message"]
+    both = providers.verify(providers.Spec("openai", "m", base_url="http://bad", fallback=good), send)
+    assert both["ok"]
+    assert both["provider"] == "openai -> ollama"
+    rows = providers.verify_rows(spark.createDataFrame([("{}",), ('{"provider": "x"}',)], "o string"), "o").select("check.*").collect()
+    assert [r.ok for r in rows] == [True, False]
+
+
+def test_analysis_with_providers_and_retrieval(spark):
+    requests = queries.requests(spark, SF).where("use_llm").limit(30)
+    override = F.when(F.col("request_id") % 3 == 0, "fails").when(F.col("request_id") % 3 == 1, "breaks")
+    requests = requests.withColumn("llm_override", override).cache()
+    signatures = spark.createDataFrame([], "team_id long, hash string, category string, subcategory string, occurrence_count long, is_known boolean, known_root_cause string, known_resolution string")
+
+    class Broken:
+        name = "x"
+
+        def ask(self, prompt):
+            raise RuntimeError("Deadline Exceeded")
+
+    made = {"fails": fixed("a", "auth"), None: fixed("a", None, 1e-6), "breaks": Broken()}
+
+    found = {r.request_id: r for r in pipeline.analyze(requests, signatures, make_provider=made.get).collect()}
+    assert len(found) == 30
+    for i, r in found.items():
+        assert r.status == ("provider_error" if i % 3 < 2 else "model")
+        if i % 3 == 2:
+            assert abs(r.analysis.usage.cost_usd - 0.0011) < 1e-9
+            assert r.analysis.summary == "s"
+        assert not r.analysis.used_rag
+    one = requests.select("team_id", "project.id", "error_block").where("error_block IS NOT NULL").first()
+    encode = chunk.HashedEncoder()
+    vector = [float(x) for x in encode([one.error_block])[0]]
+    documents = spark.createDataFrame([(1, "runbook", None, True)], "id long, title string, project_id long, is_active boolean")
+    parts = spark.createDataFrame([(1, i, t, "how to fix it %d" % i, vector if i == 1 else [0.0] * 384) for i in range(5) for t in [one.team_id]], "document_id long, chunk_index int, team_id long, content string, embedding array<float>")
+    context = pipeline.retrieved(
+        requests.where(F.col("error_block") == one.error_block).where(F.col("team_id") == one.team_id).select("request_id", "team_id", F.col("project.id").alias("project_id"), F.lit("").alias("category"), F.col("error_block").alias("error_message"), F.lit(None).cast("string").alias("ecosystem"), F.lit(None).cast("string").alias("job_name")),
+        pipeline.Sources(None, parts, documents),
+    ).collect()
+    assert context
+    assert all([x.content for x in r.knowledge] == ["how to fix it %d" % i for i in range(4)] for r in context)
+    used = pipeline.analyze(requests, signatures, sources=pipeline.Sources(None, parts, documents)).where("analysis.used_rag").count()
+    assert used >= 1
+    broken = pipeline.Sources(None, spark.range(1), documents)  # retrieval that can't be planned degrades
+    assert pipeline.analyze(requests, signatures, sources=broken).where("analysis.used_rag").count() == 0
 
 
 def test_analysis_branches(spark):
