@@ -359,9 +359,9 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
     classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     rank = Window.partitionBy("rep", F.col("key").bitwiseAND(INTERVALS - 1)).orderBy(F.desc("often"), "key")
     spare = F.element_at(F.array(*map(F.lit, threshold.dropped())), (F.col("key").bitwiseAND(INTERVALS - 1) + 1).cast("int"))
-    keys = shared(filed(docs, size, threshold)).select("key", F.col("id").alias("rep"), F.col("n").alias("often")).join(classes.select("rep", "n"), "rep")
-    # one row of each key, where a doc_id repeats
-    keys = keys.withColumns({"rank": F.row_number().over(rank), "spare": spare}).where("rank > spare").select("key", "rep").distinct()
+    keys = shared(filed(docs, size, threshold)).select("key", F.col("id").alias("rep"), F.col("n").alias("often"))
+    # a row of each key and class, as texts and ids may repeat
+    keys = keys.withColumns({"rank": F.row_number().over(rank), "spare": spare}).where("rank > spare").select("key", "rep").distinct().join(classes.select("rep"), "rep")
     met = cut(shared(cut(keys).select("key", F.col("rep").alias("id"))).select("key", F.col("id").alias("rep"), "leader"))
 
     # step 3: groups around leaders
