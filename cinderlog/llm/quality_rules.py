@@ -125,8 +125,15 @@ def _attach(rows: DataFrame, found: DataFrame, keys: list[str], few: bool, how:
 
 
 def _moments() -> list[Column]:
+    """Count, sums and sums of products, as columns n, m0, m1 ..., which add up."""
     x = [F.col("v")[i] for i in range(DIM)]
-    return [F.count("*").alias("n"), F.array(*(F.sum(c) for c in x)).alias("s"), F.array(*(F.sum(x[i] * x[j]) for i, j in _PAIRS)).alias("q")]
+    return [F.count("*").alias("n"), *(F.sum(c).alias(f"m{k}") for k, c in enumerate([*x, *(x[i] * x[j] for i, j in _PAIRS)]))]
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    """For each run n, s, q: rows' moments added up."""
+    m = [F.sum(f"m{k}") for k in range(DIM + len(_PAIRS))]
+    return rows.groupBy(*_RUN).agg(F.sum("n").alias("n"), F.array(*m[:DIM]).alias("s"), F.array(*m[DIM:]).alias("q"))
 
 
 def shape(n: int, s: list[int], q: list[int]) -> tuple[list[float], list[float], float]:
@@ -161,13 +168,11 @@ def _bin() -> Column:
     return F.floor(F.log(F.least(F.greatest(_distance(), F.lit(1e-4)), F.lit(1e12))) * 32).cast("int")
 
 
-def _quantile(placed: DataFrame, share: float, name: str) -> DataFrame:
-    """For each run the smallest bin up to which it has this share of its rows, from counts by bin."""
-    bins = placed.groupBy(*_RUN, "bin").agg(F.count("*").alias("k"))
-    upto = Window.partitionBy(*_RUN).orderBy("bin")
-    every = Window.partitionBy(*_RUN)
-    bins = bins.withColumns({"upto": F.sum("k").over(upto), "total": F.sum("k").over(every)})
-    return bins.where(F.col("upto") >= F.ceil(F.col("total") * share)).groupBy(*_RUN).agg(F.min("bin").alias(name))
+def _upto(bins: DataFrame, share: float) -> DataFrame:
+    """Of each run's bins (run, bin, n), those up to the first by which it has this share of its rows."""
+    run = Window.partitionBy(*_RUN)
+    bins = bins.withColumns({"upto": F.sum("n").over(run.orderBy("bin")), "total": F.sum("n").over(run)})
+    return bins.where(F.col("upto") - F.col("n") < F.ceil(F.col("total") * share))
 
 
 def _starts(rows: DataFrame) -> DataFrame:
@@ -177,7 +182,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     spread = centred.groupBy(*_GROUP).agg(*(F.percentile(F.abs(F.col("v")[i] - F.col("m")[i]), F.lit(0.5)).alias(f"d{i}") for i in range(DIM)))
     variance = [F.pow(F.lit(1.4826) * F.col(f"d{i}"), 2) + F.lit((FLOOR[i] * UNIT) ** 2) for i in range(DIM)]
     robust = middles.join(spread, _GROUP).select(*_GROUP, F.lit(0).alias("start"), F.col("m").alias("mean"), F.array(*(1 / variance[i] if i == j else F.lit(0.0) for i, j in _PAIRS)).alias("inverse"))
-    plain = _invert(rows.groupBy(*_GROUP).agg(*_moments()).withColumn("start", F.lit(1))).select(*_RUN, "mean", "inverse")
+    plain = _invert(_sums(rows.groupBy(*_GROUP).agg(*_moments()).withColumn("start", F.lit(1)))).select(*_RUN, "mean", "inverse")
     return cut(robust.unionByName(plain))
 
 
@@ -188,16 +193,18 @@ def estimates(passed: DataFrame) -> DataFrame:
     few = state.count() <= BROADCAST_ROWS
     for _ in range(STEPS):
         now = state.where("live").select(*_RUN, "mean", "inverse")
-        far = _quantile(_attach(rows, now, _GROUP, few).withColumn("bin", _bin()), H, "far").join(now, _RUN)
-        near = _attach(rows, far, _GROUP, few).where(_bin() <= F.col("far"))
-        found = _invert(near.groupBy(*_RUN).agg(*_moments())).select(*_RUN, *(F.col(x).alias(f"{x}_new") for x in ("mean", "inverse", "logdet")))
+        # one pass over the rows: their moments by bin, of which the nearest bins' are added up
+        bins = _attach(rows, now, _GROUP, few).withColumn("bin", _bin()).groupBy(*_RUN, "bin").agg(*_moments())
+        found = _invert(_sums(_upto(bins, H))).select(*_RUN, *(F.col(x).alias(f"{x}_new") for x in ("mean", "inverse", "logdet")))
         falls = F.coalesce(F.col("live") & (F.col("logdet_new") < F.col("logdet") - 1e-9), F.lit(False))
         taken = (F.when(falls, F.col(f"{x}_new")).otherwise(F.col(x)).alias(x) for x in ("mean", "inverse", "logdet"))
-        state = cut(state.join(found, _RUN, "left").select(*_RUN, *taken, falls.alias("live")))
+        ended = state.join(found, _RUN, "left").select(*_RUN, *taken, falls.alias("live"))
+        state = cut(ended.coalesce(8) if few else ended)
         if state.where("live").isEmpty():
             break
     best = cut(state.groupBy(*_GROUP).agg(F.min_by(F.struct("start", "mean", "inverse"), F.struct("logdet", "start")).alias("x")).select(*_GROUP, "x.*"))
-    mid = _quantile(_attach(rows, best, _GROUP, few).withColumn("bin", _bin()), 0.5, "mid")
+    bins = _attach(rows, best, _GROUP, few).withColumn("bin", _bin()).groupBy(*_RUN, "bin").agg(F.count("*").alias("n"))
+    mid = _upto(bins, 0.5).groupBy(*_RUN).agg(F.max("bin").alias("mid"))
     n = rows.groupBy(*_GROUP).agg(F.count("*").alias("n"))
     # a factor over 1 would widen distances where most texts are alike
     return cut(best.join(mid, _RUN).join(n, _GROUP).select(*_GROUP, "n", "mean", "inverse", F.least(F.lit(1.0), MEDIAN / F.exp((F.col("mid") + 1) / 32)).alias("factor")))
