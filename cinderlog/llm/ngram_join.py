@@ -6,14 +6,14 @@ coordinate minima of two points bounds their overlap, as the sum of minima with
 upper corner bounds the overlap with all points in it.
 
 1. Texts with equal sets are one class; its smallest doc_id stands for it.
-2. Two sets that link differ in at most d n-grams. Cut into d + 1 + s ranges of hashes, they
-   agree in s + 1 ranges whole, so each set is filed under a key for each range (sizes are
-   cut into intervals, and sets near an interval's edge are filed for both sides). Of its
-   keys a set drops the s most frequent, by an order that all sets share: the rarest key of
-   those that two linked sets have in common is dropped by neither. So keys of passages
-   that many texts hold, and keys met by chance, bring no sets together unless a text has
-   more than s of them. Rows are dealt by range of (key, doc_id), so a frequent key is
-   split between tasks.
+2. Of two sets that link, ordered by hash, both begin with the same n-grams of those they share: a
+   set of n with links of at least t common n-grams has the first m common ones among its first
+   n - t + m. These n-grams are the keys that a set is filed under. m is s + 1, and of its keys a
+   set drops the s most frequent, by an order that all sets share: the rarest key of those that
+   two linked sets have in common is dropped by neither. So n-grams of passages that many texts
+   hold, and n-grams met by chance, bring no sets together unless a text has more than s of
+   them as keys. s grows with n; m is chosen for the largest set that one of n may link with.
+   Rows are dealt by range of (key, doc_id), so a frequent key is split between tasks.
 3. Sets with a shared key are gathered around the leader with which they share most keys,
    in groups of bounded size. Each group is indexed by an R-tree of its points; pairs that
    survive the bound are verified with the whole sets, those already connected skipped.
@@ -36,21 +36,19 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
-from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlog.llm._text import cut, docs_of, map_arrow, mix, text_bytes, windows, word_hashes
+from cinderlog.llm._text import cut, docs_of, map_arrow, text_bytes, windows, word_hashes
 from cinderlog.llm.components import components
 
 GROUPS = 64
 LEAF = 32
-#: Ranges over those needed, as a share of them: how many frequent keys a set drops.
-SPARE_SHARE = 0.35
+#: Share of its n-grams that are frequent keys a set drops; it is filed under as many more.
+SPARE_SHARE = 0.1
 #: Keys with more rows in a task count as equally frequent.
 FREQUENT = 4096
 #: N-grams and sets in a group of step 3, about.
@@ -78,12 +76,6 @@ class Threshold:
         if not 0 < num <= den:
             raise ValueError("the similarity must be over 0 and at most 1")
         self.num, self.den = num, den
-        if num == den:  # equal sets: every size is an interval of its own
-            return
-        steps = max(1, round(np.log(0.65) / np.log(num / den)))
-        self.edges = [1]
-        while self.edges[-1] < 1 << 40:
-            self.edges.append(max(self.edges[-1] + 1, int(self.edges[-1] * (den / num) ** steps)))
 
     def overlap(self, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | int:
         """The least intersection of linked sets of these sizes."""
@@ -92,67 +84,22 @@ class Threshold:
     def differ(self, a: int, b: int) -> int:
         return a + b - 2 * self.overlap(a, b)
 
-    @lru_cache(maxsize=100_000)  # noqa: B019
-    def filings(self, n: int) -> tuple[tuple[int, int, int], ...]:
-        """(interval, ranges, spare empty ones) under which a set of n is filed."""
-        if self.num == self.den:
-            return ((n % INTERVALS, 1, 0),)
-        i = int(np.searchsorted(self.edges, n, "right")) - 1
-        out = [(2 * i, *self._ranges(2 * i)[:2])]
-        for k in (i, i + 1):  # pairs across the edge: one below it, one not
-            least, most = self._across(k)
-            if k and least <= n <= most and most >= self.edges[k]:
-                out.append((2 * k - 1, *self._ranges(2 * k - 1)[:2]))
-        return tuple(out)
-
-    def dropped(self) -> list[int]:
-        """By interval, how many of its most frequent keys a set drops."""
-        return [0] * INTERVALS if self.num == self.den else [self._ranges(i)[2] if 0 <= i < 2 * len(self.edges) - 2 else 0 for i in range(INTERVALS)]
-
-    def _across(self, k: int) -> tuple[int, int]:
-        """The sizes that may link across an edge."""
-        return -(-self.edges[k] * self.num // self.den), (self.edges[k] - 1) * self.den // self.num
-
-    @lru_cache(maxsize=1000)  # noqa: B019
-    def _ranges(self, interval: int) -> tuple[int, int, int]:
-        """For an interval its ranges, and how many of them are spare for empty and for frequent ones."""
-        k = (interval + 1) // 2
-        if interval % 2:
-            (least, b), a = self._across(k), self.edges[k] - 1
-        else:
-            least, a, b = self.edges[k], self.edges[k + 1] - 1, self.edges[k + 1] - 1
-        need = max(self.differ(a, b), self.differ(a, b - 1)) + 1  # of two sums one apart, either may allow more
-        if need <= 1:
-            return 1, 0, 0
-        frequent = ceil(SPARE_SHARE * need)
-        empty = (need + frequent) * exp(-least / (need + frequent))
-        spare = ceil(empty + 3 * sqrt(empty))
-        return need + frequent + spare, spare, frequent
-
-
-#: Numbers of intervals, kept in a key's low byte.
-INTERVALS = 256
+    def dropped(self, n: int) -> int:
+        """How many of its most frequent keys a set of n drops; fewer than any link's intersection."""
+        return min(int(n * SPARE_SHARE), self._least(n) - 1)
 
+    def keys(self, n: int) -> int:
+        """How many keys a set of n has: any set that it links with has one more of them than either drops."""
+        return min(n, n - self._least(n) + 1 + self.dropped(n * self.den // self.num))
 
-def keys_of(grams: np.ndarray, threshold: Threshold) -> np.ndarray:
-    """The keys a set is filed under: one for each range of hashes, from its content there, with the interval in its low byte.
+    def _least(self, n: int) -> int:
+        """The least intersection of a set of n with a set that it links with."""
+        return -(-self.num * n // self.den)
 
-    Empty ranges are left out unless the set has more of them than were added as spares:
-    linked sets that agree in empty ranges alone both have more.
-    """
-    out = []
-    sums = np.zeros(len(grams) + 1, np.uint64)
-    np.cumsum(mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=sums[1:])
-    for interval, ranges, spare in threshold.filings(len(grams)):
-        edges = np.array([(j << 64) // ranges for j in range(1, ranges)], np.uint64)
-        at = np.concatenate([[0], np.searchsorted(grams, edges), [len(grams)]])
-        count = np.diff(at)
-        label = mix(np.uint64(interval << 32) + np.arange(ranges, dtype=np.uint64))
-        key = mix((sums[at[1:]] - sums[at[:-1]]) ^ label) + count.astype(np.uint64)
-        key = key & np.uint64(2**64 - INTERVALS) | np.uint64(interval)
-        filled = count > 0
-        out.append(key if ranges - filled.sum() > spare else key[filled])
-    return np.concatenate(out)
+
+def keys_of(grams: np.ndarray, threshold: Threshold) -> np.ndarray:
+    """The keys a set is filed under: its first n-grams by hash; `grams` are sorted."""
+    return grams[: threshold.keys(len(grams))]
 
 
 class RTree:
@@ -355,13 +302,17 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
             sets = [(len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest()) for x in gram_sets(text_bytes(batch.column("text")), size)]
             yield {"doc_id": batch.column("doc_id"), "n": [x[0] for x in sets], "digest": [x[1] for x in sets]}
 
+    def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            yield {"rep": batch.column("rep"), "spare": [threshold.dropped(x) for x in batch.column("n").to_pylist()]}
+
     rows = cut(map_arrow(docs, digest, "doc_id long, n long, digest binary"))
     classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
-    rank = Window.partitionBy("rep", F.col("key").bitwiseAND(INTERVALS - 1)).orderBy(F.desc("often"), "key")
-    spare = F.element_at(F.array(*map(F.lit, threshold.dropped())), (F.col("key").bitwiseAND(INTERVALS - 1) + 1).cast("int"))
+    rank = Window.partitionBy("rep").orderBy(F.desc("often"), "key")
     keys = shared(filed(docs, size, threshold)).select("key", F.col("id").alias("rep"), F.col("n").alias("often"))
     # a row of each key and class, as texts and ids may repeat
-    keys = keys.withColumns({"rank": F.row_number().over(rank), "spare": spare}).where("rank > spare").select("key", "rep").distinct().join(classes.select("rep"), "rep")
+    spare = map_arrow(classes.select("rep", "n"), dropped, "rep long, spare long")
+    keys = keys.withColumn("rank", F.row_number().over(rank)).join(spare, "rep").where("rank > spare").select("key", "rep").distinct()
     met = cut(shared(cut(keys).select("key", F.col("rep").alias("id"))).select("key", F.col("id").alias("rep"), "leader"))
 
     # step 3: groups around leaders
