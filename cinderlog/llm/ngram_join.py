@@ -237,18 +237,35 @@ def _streams(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-def filed(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
-    """(key, id) of every text."""
+def digested(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
+    """doc_id, n (n-grams), digest (of the set) and keys (eight bytes each) of every text."""
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
             texts = text_bytes(batch.column("text"))
             for at in range(0, len(texts), 256):
-                keys = [keys_of(x, threshold) if len(x) else x for x in gram_sets(texts[at : at + 256], size)]
-                yield {"key": np.concatenate([np.empty(0, np.uint64), *keys]).view(np.int64), "id": np.repeat(ids[at : at + 256], [len(x) for x in keys])}
+                sets = [x.astype("<u8") for x in gram_sets(texts[at : at + 256], size)]
+                yield {
+                    "doc_id": batch.column("doc_id").slice(at, 256),
+                    "n": [len(x) for x in sets],
+                    "digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets],
+                    "keys": [keys_of(x, threshold).tobytes() for x in sets],
+                }
+
+    return map_arrow(docs, digest, "doc_id long, n long, digest binary, keys binary")
 
-    return map_arrow(docs.where("doc_id IS NOT NULL"), file, "key long, id long")
+
+def filed(rows: DataFrame) -> DataFrame:
+    """(key, id) of every text with words."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            ids, keys = batch.column("doc_id").to_numpy(), batch.column("keys").to_pylist()
+            for at in range(0, len(keys), 256):
+                some = keys[at : at + 256]
+                yield {"key": np.frombuffer(b"".join(some), "<i8"), "id": np.repeat(ids[at : at + 256], [len(x) // 8 for x in some])}
+
+    return map_arrow(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "keys"), file, "key long, id long")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -297,19 +314,14 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links."""
     threshold, docs = Threshold(num, den), docs_of(documents)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            sets = [(len(x), hashlib.blake2b(x.tobytes(), digest_size=16).digest()) for x in gram_sets(text_bytes(batch.column("text")), size)]
-            yield {"doc_id": batch.column("doc_id"), "n": [x[0] for x in sets], "digest": [x[1] for x in sets]}
-
     def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             yield {"rep": batch.column("rep"), "spare": [threshold.dropped(x) for x in batch.column("n").to_pylist()]}
 
-    rows = cut(map_arrow(docs, digest, "doc_id long, n long, digest binary"))
+    rows = cut(digested(docs, size, threshold))
     classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
     rank = Window.partitionBy("rep").orderBy(F.desc("often"), "key")
-    keys = shared(filed(docs, size, threshold)).select("key", F.col("id").alias("rep"), F.col("n").alias("often"))
+    keys = shared(filed(rows)).select("key", F.col("id").alias("rep"), F.col("n").alias("often"))
     # a row of each key and class, as texts and ids may repeat
     spare = map_arrow(classes.select("rep", "n"), dropped, "rep long, spare long")
     keys = keys.withColumn("rank", F.row_number().over(rank)).join(spare, "rep").where("rank > spare").select("key", "rep").distinct()
