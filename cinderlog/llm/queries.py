@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cinderlog.llm import bpe, chat, exact_dedup, html, line_dedup, nbsvm, ngram_join, packing, quality_rules, sst
+from cinderlog.llm import bpe, chat, clustering, exact_dedup, html, line_dedup, merkle, nbsvm, ngram_join, packing, quality_rules, sst, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,20 @@ def op10_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.link(table(spark, sf_dir, "conversations"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed="2:", dims=64, scale=256)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_token_output, op5_ngram_jaccard, op6_html_extraction, op7_packing, op8_quality_rules, op9_quality_classifier, op10_chat_quotes)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_bpe, op3_line_dedup, op4_token_output, op5_ngram_jaccard, op6_html_extraction, op7_packing, op8_quality_rules, op9_quality_classifier, op10_chat_quotes, op11_toxicity, op12_centroid_clusters, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -70,4 +82,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
                    doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
             FROM t""",
+        "op12_centroid_clusters": clustering.duck_sql(),
+        "op13_merkle_manifest": merkle.duck_sql(),
     }
