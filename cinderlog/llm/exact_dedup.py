@@ -192,10 +192,10 @@ def exact_groups(documents: DataFrame) -> DataFrame:
 def drop_copies(documents: DataFrame) -> DataFrame:
     """One document of each group of equal texts, with all its columns: of rows with the smallest doc_id, one."""
     digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", " "), 256)
-    kept = exact_groups(documents).where("kept").groupBy(F.col("text_sha256").alias("__digest"), F.col("doc_id").alias("__id"))
-    kept = cut(kept.agg(F.count("*").alias("__n")))
-    marked = documents.withColumn("__own", digest)
-    stay = (F.col("__own") == F.col("__digest")) & marked["doc_id"].eqNullSafe(F.col("__id"))
-    once = marked.join(kept.where("__n = 1"), stay, "left_semi")
-    repeated = marked.join(kept.where("__n > 1"), stay, "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["__own"])).drop("__own")
+    kept = exact_groups(documents).where("kept").groupBy(F.col("text_sha256").alias("digest"), F.col("doc_id").alias("kept_id"))
+    kept = cut(kept.agg(F.count("*").alias("times")))
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("own"))
+    stay = (rows["own"] == kept["digest"]) & rows["id"].eqNullSafe(kept["kept_id"])
+    once = rows.join(kept.where("times = 1"), stay, "left_semi")
+    repeated = rows.join(kept.where("times > 1"), stay, "left_semi")
+    return once.unionByName(repeated.dropDuplicates(["own"])).select("row.*")

@@ -5,7 +5,7 @@ n-grams, are hashed into 64 groups; a text's counts by group are a point, and th
 coordinate minima of two points bounds their overlap, as the sum of minima with a box's
 upper corner bounds the overlap with all points in it.
 
-1. Texts with equal sets are one class; its smallest doc_id stands for it.
+1. Texts with equal sets are one class, named by the number of its first row.
 2. Of two sets that link, ordered by hash, both begin with the same n-grams of those they share: a
    set of n with links of at least t common n-grams has the first m common ones among its first
    n - t + m. These n-grams are the keys that a set is filed under. m is s + 1, and of its keys a
@@ -13,7 +13,7 @@ upper corner bounds the overlap with all points in it.
    two linked sets have in common is dropped by neither. So n-grams of passages that many texts
    hold, and n-grams met by chance, bring no sets together unless a text has more than s of
    them as keys. s grows with n; m is chosen for the largest set that one of n may link with.
-   Rows are dealt by range of (key, doc_id), so a frequent key is split between tasks.
+   Rows are dealt by range of (key, row), so a frequent key is split between tasks.
 3. Sets with a shared key are gathered around the leader with which they share most keys,
    in groups of bounded size. Each group is indexed by an R-tree of its points; pairs that
    survive the bound are verified with the whole sets, those already connected skipped.
@@ -28,7 +28,8 @@ upper corner bounds the overlap with all points in it.
 Cases: texts without words are linked with nothing and have 0 n-grams; texts with fewer
 words than n have one n-gram, the whole sequence; null text is empty; rows with a null
 doc_id are returned, linked with nothing, their component null; rows that repeat a doc_id
-and a text are in one class; a table without rows gives none; texts are read whole; other
+and a text are in one class; rows that share a doc_id but no text are linked each by its own
+text; there is a row for each row; a table without rows gives none; texts are read whole; other
 columns are ignored.
 """
 
@@ -238,7 +239,7 @@ def _streams(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa
 
 
 def digested(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
-    """doc_id, n (n-grams), digest (of the set) and keys (eight bytes each) of every text."""
+    """doc_id, mark (tells the texts of one doc_id apart), n (n-grams), digest (of the set) and keys (eight bytes each) of every text."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -247,25 +248,26 @@ def digested(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
                 sets = [x.astype("<u8") for x in gram_sets(texts[at : at + 256], size)]
                 yield {
                     "doc_id": batch.column("doc_id").slice(at, 256),
+                    "mark": batch.column("mark").slice(at, 256),
                     "n": [len(x) for x in sets],
                     "digest": [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets],
                     "keys": [keys_of(x, threshold).tobytes() for x in sets],
                 }
 
-    return map_arrow(docs, digest, "doc_id long, n long, digest binary, keys binary")
+    return map_arrow(docs.withColumn("mark", F.xxhash64("text")), digest, "doc_id long, mark long, n long, digest binary, keys binary")
 
 
 def filed(rows: DataFrame) -> DataFrame:
-    """(key, id) of every text with words."""
+    """(key, id) of every text with words; id is its row."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_numpy(), batch.column("keys").to_pylist()
+            ids, keys = batch.column("row").to_numpy(), batch.column("keys").to_pylist()
             for at in range(0, len(keys), 256):
                 some = keys[at : at + 256]
                 yield {"key": np.frombuffer(b"".join(some), "<i8"), "id": np.repeat(ids[at : at + 256], [len(x) // 8 for x in some])}
 
-    return map_arrow(rows.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "keys"), file, "key long, id long")
+    return map_arrow(rows.where("n > 0 AND doc_id IS NOT NULL").select("row", "keys"), file, "key long, id long")
 
 
 def shared(rows: DataFrame) -> DataFrame:
@@ -312,27 +314,38 @@ def shared(rows: DataFrame) -> DataFrame:
 
 def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row: the smallest doc_id reachable by links."""
+    return _linked(documents, size, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _linked(documents: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """doc_id, mark, n, component (a number of the component's, null for a row that is linked with nothing by its kind), component_id of every row.
+
+    Equal sets are a class, named by the first of its rows (`rep`), so that rows that share a doc_id but no text stay apart.
+    """
     threshold, docs = Threshold(num, den), docs_of(documents)
 
     def dropped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             yield {"rep": batch.column("rep"), "spare": [threshold.dropped(x) for x in batch.column("n").to_pylist()]}
 
-    rows = cut(digested(docs, size, threshold))
-    classes = cut(rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
+    rows = cut(digested(docs, size, threshold).withColumn("row", F.monotonically_increasing_id()))
+    classes = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest")
+    classes = cut(classes.agg(F.min("row").alias("rep"), F.min("doc_id").alias("first"), F.min("n").alias("n")))
     rank = Window.partitionBy("rep").orderBy(F.desc("often"), "key")
     keys = shared(filed(rows)).select("key", F.col("id").alias("rep"), F.col("n").alias("often"))
-    # a row of each key and class, as texts and ids may repeat
+    # of a class, the keys of its first row
     spare = map_arrow(classes.select("rep", "n"), dropped, "rep long, spare long")
-    keys = keys.withColumn("rank", F.row_number().over(rank)).join(spare, "rep").where("rank > spare").select("key", "rep").distinct()
+    keys = keys.withColumn("rank", F.row_number().over(rank)).join(spare, "rep").where("rank > spare").select("key", "rep")
     met = cut(shared(cut(keys).select("key", F.col("rep").alias("id"))).select("key", F.col("id").alias("rep"), "leader"))
 
     # step 3: groups around leaders
     led = met.groupBy("rep", "leader").agg(F.count("*").alias("k"))
     led = led.groupBy("rep").agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("leader"))
-    active = cut(led.join(classes.select("rep", "n"), "rep"))
-    whole = map_arrow(docs.join(active.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]), _sets(size), "rep long, grams binary")
-    sets = cut(whole)
+    active = cut(led.join(classes, "rep"))
+    # a class' set comes from its first row's text; rows that repeat doc_id and text are left out
+    named = active.select("rep").join(rows.select(F.col("row").alias("rep"), "doc_id", "mark"), "rep")
+    some = docs.withColumn("mark", F.xxhash64("text")).join(named, ["doc_id", "mark"]).dropDuplicates(["rep"])
+    sets = cut(map_arrow(some.select("rep", "text"), _sets(size), "rep long, grams binary"))
     load = active.groupBy("leader").agg(F.ceil(F.greatest(F.sum("n") / GROUP_GRAMS, F.count("*") / GROUP_SETS)).cast("int").alias("parts"))
     members = active.join(load, "leader").select("rep", "leader", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int").alias("part"))
     heads = load.select(F.col("leader").alias("rep"), "leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -397,17 +410,19 @@ def link_components(documents: DataFrame, size: int = 5, num: int = 80, den: int
     more = components(map_arrow(whole, verify, "u long, v long"))
 
     joined = member.select("rep", "component").join(more.select(F.col("id").alias("component"), F.col("component").alias("merged")), "component", "left")
-    final = classes.join(joined.select("rep", F.coalesce("merged", "component").alias("component_id")), "rep", "left").select("digest", F.coalesce("component_id", "rep").alias("component_id"))
-    found = rows.join(final, "digest", "left")
+    joined = joined.select("rep", F.coalesce("merged", "component").alias("component"))
+    final = cut(classes.join(joined, "rep", "left").select("digest", "first", F.coalesce("component", "rep").alias("component")))
+    lowest = final.groupBy("component").agg(F.min("first").alias("component_id"))
+    found = rows.join(final.join(lowest, "component").select("digest", "component", "component_id"), "digest", "left")
     # null ids and texts without words are linked with nothing
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return found.select("doc_id", "mark", "n", F.when(~alone, F.col("component")).alias("component"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _sets(size: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            yield {"rep": batch.column("doc_id"), "grams": [x.astype("<u8").tobytes() for x in gram_sets(text_bytes(batch.column("text")), size)]}
+            yield {"rep": batch.column("rep"), "grams": [x.astype("<u8").tobytes() for x in gram_sets(text_bytes(batch.column("text")), size)]}
 
     return run
 
@@ -420,14 +435,17 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 def keep_one(documents: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """One document of each component stays, the one of the smallest doc_id, with all its columns.
+    """One document of each component stays, one of its smallest doc_id, with all its columns.
 
-    Of rows that repeat this doc_id and the text, one stays; rows without a doc_id all stay.
+    Of rows that repeat a doc_id and a text one stays, and of a component's texts that share its smallest doc_id, too;
+    rows without a doc_id, and without words, aren't linked, so they all stay but for such repeats.
     """
-    found = link_components(documents, size, num, den).where("doc_id IS NOT NULL")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    again = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n")).where("__n > 1").select("__id")
-    left = documents.join(gone, documents["doc_id"] == F.col("__id"), "left_anti")
-    once = left.join(again, left["doc_id"] == F.col("__id"), "left_anti")
-    repeated = left.join(again, left["doc_id"] == F.col("__id"), "left_semi")
-    return once.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    found = _linked(documents, size, num, den).where("doc_id IS NOT NULL AND doc_id = component_id")
+    found = found.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("times"))
+    linked = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "mark", "times")).alias("x")).select("x.*")
+    stays = linked.unionByName(found.where("component IS NULL").drop("component"))
+    stays = cut(stays.groupBy("doc_id", "mark").agg(F.sum("times").alias("times")))
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"))
+    once = rows.join(stays.where("times = 1"), ["doc_id", "mark"], "left_semi")
+    again = rows.join(stays.where("times > 1"), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"])
+    return rows.where("doc_id IS NULL").unionByName(once).unionByName(again).select("row.*")

@@ -234,9 +234,9 @@ def _judged(documents: DataFrame) -> DataFrame:
 
 def keep(documents: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns; rows go by doc_id, text, lang and source."""
-    kept = _judged(documents).where("kept").select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    own = documents["doc_id"].eqNullSafe(F.col("__id")) & (_mark() == F.col("__mark"))
-    return documents.join(kept, own, "left_semi")
+    kept = _judged(documents).where("kept").select(F.col("doc_id").alias("kept_id"), "mark").distinct()
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), _mark().alias("own"))
+    return rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["own"] == kept["mark"]), "left_semi").select("row.*")
 
 
 def _mark() -> Column:

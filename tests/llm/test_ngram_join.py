@@ -5,7 +5,9 @@ import random
 import numpy as np
 import pytest
 
-from cinderlog.llm import ngram_join
+from pyspark.sql import functions as F
+
+from cinderlog.llm import exact_dedup, ngram_join, quality_rules
 from cinderlog.llm.components import components
 from cinderlog.llm.ngram_join import RTree, Threshold, keys_of, links_in, points
 
@@ -178,6 +180,31 @@ def test_keep_one(odd_documents):
     assert sorted((r.doc_id for r in ngram_join.keep_one(twice, 3, 90, 100).collect()), key=str) == sorted([1, 2, 3, 4, 5, None, None, 8, 10], key=str)
 
 
+def test_rows_that_share_a_doc_id_are_linked_by_their_own_texts(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, one), (5, two), (7, two + " end"), (9, two), (8, one + " x"), (4, three), (4, three)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted((r.doc_id, r.component_id) for r in ngram_join.link_components(docs, 3, 90, 100).collect())
+    assert found == [(4, 4), (4, 4), (5, 5), (5, 5), (7, 5), (8, 5), (9, 5)]
+    # both components have 5 for their smallest doc_id; a row of each stays
+    assert sorted(map(tuple, ngram_join.keep_one(docs, 3, 90, 100).collect())) == sorted([(5, one), (5, two), (4, three)])
+    # two texts of a doc_id in one component: one of them stays
+    near = spark.createDataFrame([(5, one), (5, one + " x"), (6, one)], "doc_id long, text string")
+    assert ngram_join.keep_one(near, 3, 90, 100).count() == 1
+
+
+CLASHES = ["__id", "__own", "__mark", "__n", "key", "rep", "row", "mark", "id", "own", "times", "first", "kept_id", "digest", "component"]
+
+
+@pytest.mark.parametrize("keep", [ngram_join.keep_one, exact_dedup.drop_copies, quality_rules.keep])
+def test_stages_keep_columns_of_any_name(spark, odd_documents, keep):
+    clashing = odd_documents.select("doc_id", "text", "lang", "source", "n_chars", *(F.lit("mine").alias(x) for x in CLASHES))
+    found = keep(clashing)
+    assert found.columns == clashing.columns
+    rows = found.collect()
+    assert len(rows) == keep(odd_documents).count() and all(r[x] == "mine" for r in rows for x in CLASHES)
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102), (200, 200)]
     found = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
