@@ -41,15 +41,6 @@ def split_matches(text: Column, pattern: str, flags: str = "") -> Column:
     return F.split(replace(text, pattern, f"{MARK}$0{MARK}", flags), MARK, -1)
 
 
-def replace_each(parts: Column, hit: Callable[[Column], Column], replacement: str) -> tuple[Column, Column]:
-    """(text, count) after replacing the matches among parts for which hit holds."""
-    def swap(x: Column, i: Column) -> Column:
-        return F.when((i % 2 == 1) & hit(x), F.lit(replacement)).otherwise(x)
-
-    chosen = F.filter(parts, lambda x, i: (i % 2 == 1) & hit(x))
-    return F.array_join(F.transform(parts, swap), ""), F.size(chosen)
-
-
 def hit_lines(text: Column, pattern: str, flags: str = "") -> Column:
     """Zero-based numbers of the lines in which matches start, ascending."""
     lines = F.split(replace(text, pattern, f"{MARK}$0", flags), "\n", -1)
@@ -57,17 +48,12 @@ def hit_lines(text: Column, pattern: str, flags: str = "") -> Column:
     return F.filter(numbered, lambda x: x.isNotNull())
 
 
-def sealed(value: Column) -> Column:
-    """The value, made once: the optimiser neither repeats it for each use nor moves filters on it
-    below its making, where they would repeat the whole chain. (A condition on rand() is what holds
-    it back; it is always true.)
-    """
-    return F.when(F.rand(0) >= 0, value)
-
-
 def let(value: Column, f: Callable[[Column], Column]) -> Column:
-    """f(value) with the value named once, however often f uses it: chains of such steps grow by
-    addition when the optimiser inlines them, not by multiplication."""
+    """f(value) with the value named once, however often f uses it.
+
+    A chain of such steps is one expression that grows by addition, and one projection: a projection for
+    each step would let the optimiser's inferred constraints double at each of them under a filter.
+    """
     return F.element_at(F.transform(F.array(value), f), 1)
 
 

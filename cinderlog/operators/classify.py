@@ -13,17 +13,24 @@ from pyspark.sql import functions as F
 
 from cinderlog import rules
 from cinderlog.functions import regex
+from cinderlog.functions.literals import Prefilter
 from cinderlog.functions.numbers import rounded
 from cinderlog.settings import DEFAULTS, Settings
 
 RESULT = "struct<category:string,subcategory:string,confidence:double,source:string,matched_rules:array<string>>"
 
 
-def rule_hits(text: Column, causes: Sequence[rules.Cause] = tuple(rules.CAUSES)) -> Column:
-    """array<struct<category, subcategory, idx, hits, score>> of the rules that hit, in their order."""
+def prefilter(causes: Sequence[rules.Cause] = tuple(rules.CAUSES)) -> Prefilter:
+    """Which rules can hit a text."""
+    return Prefilter.of_patterns([x.pattern for x in causes])
+
+
+def rule_hits(text: Column, causes: Sequence[rules.Cause] = tuple(rules.CAUSES), gates: Sequence[Column] | None = None) -> Column:
+    """array<struct<category, subcategory, idx, hits, score>> of the rules that hit, in their order; gates: which are tried."""
     found = []
-    for i, c in enumerate(causes):
-        found.append(F.struct(F.lit(c.category).alias("category"), F.lit(c.subcategory).alias("subcategory"), F.lit(i).alias("idx"), regex.count(text, c.pattern, "im").alias("hits"), F.lit(c.weight).alias("weight")))
+    for i, (c, gate) in enumerate(zip(causes, gates or [F.lit(True)] * len(causes), strict=True)):
+        hits = F.when(gate, regex.count(text, c.pattern, "im")).otherwise(0)
+        found.append(F.struct(F.lit(c.category).alias("category"), F.lit(c.subcategory).alias("subcategory"), F.lit(i).alias("idx"), hits.alias("hits"), F.lit(c.weight).alias("weight")))
     hit = F.filter(F.array(*found), lambda x: x["hits"] > 0)
     return F.transform(
         hit,
@@ -45,25 +52,40 @@ def category_scores(hits: Column) -> Column:
     return F.transform(names, one)
 
 
-def classify_rules(df: DataFrame, column: str, out: str = "classification", causes: Sequence[rules.Cause] = tuple(rules.CAUSES)) -> DataFrame:
-    """Adds struct `out` by the rules alone; UNKNOWN where none hits or the text is empty."""
-    df = df.withColumn("__hits", regex.let(F.col(column), lambda t: rule_hits(t, causes)))
-    df = df.withColumn("__scores", regex.let(F.col("__hits"), category_scores))
-    df = df.withColumn("__best", F.array_max("__scores"))
-    best, hits = F.col("__best"), F.col("__hits")
-    own = F.filter(hits, lambda x: x["category"] == best["category"])
-    strongest = F.array_max(F.transform(own, lambda x: F.struct(x["score"].alias("score"), (-x["idx"]).alias("first"), x["subcategory"].alias("subcategory"))))
-    rivals = F.filter("__scores", lambda x: ~x["category"].isin(*rules.SYMPTOMS) | best["category"].isin(*rules.SYMPTOMS))
-    total = F.aggregate(rivals, F.lit(0.0), lambda a, x: a + x["score"])
-    confidence = rounded(F.least(F.lit(0.98), F.try_divide(best["score"], total) * F.least(best["score"], F.lit(1.0))), 3)
-    names = F.array_sort(F.array_distinct(F.transform(hits, lambda x: F.concat(x["category"], F.lit("/"), x["subcategory"]))))
-    none = F.array().cast("array<string>")
-    some = F.size(hits) > 0
-    value = F.struct(
-        F.when(some, best["category"]).otherwise(F.lit("UNKNOWN")).alias("category"), F.when(some, strongest["subcategory"]).alias("subcategory"),
-        F.when(some, confidence).otherwise(0.0).alias("confidence"), F.lit("rules").alias("source"), F.when(some, names).otherwise(none).alias("matched_rules"),
-    )
-    return df.withColumn(out, regex.sealed(value)).drop("__hits", "__scores", "__best")
+def classified(text: Column, causes: Sequence[rules.Cause] = tuple(rules.CAUSES), gates: Sequence[Column] | None = None) -> Column:
+    """RESULT by the rules alone; UNKNOWN where none hits or the text is empty."""
+
+    def with_scores(hits: Column) -> Column:
+        return F.struct(hits.alias("hits"), category_scores(hits).alias("scores"))
+
+    def with_best(x: Column) -> Column:
+        return F.struct(x["hits"].alias("hits"), x["scores"].alias("scores"), F.array_max(x["scores"]).alias("best"))
+
+    def result(x: Column) -> Column:
+        best, hits = x["best"], x["hits"]
+        own = F.filter(hits, lambda y: y["category"] == best["category"])
+        strongest = F.array_max(F.transform(own, lambda y: F.struct(y["score"].alias("score"), (-y["idx"]).alias("first"), y["subcategory"].alias("subcategory"))))
+        rivals = F.filter(x["scores"], lambda y: ~y["category"].isin(*rules.SYMPTOMS) | best["category"].isin(*rules.SYMPTOMS))
+        total = F.aggregate(rivals, F.lit(0.0), lambda a, y: a + y["score"])
+        confidence = rounded(F.least(F.lit(0.98), F.try_divide(best["score"], total) * F.least(best["score"], F.lit(1.0))), 3)
+        names = F.array_sort(F.array_distinct(F.transform(hits, lambda y: F.concat(y["category"], F.lit("/"), y["subcategory"]))))
+        some, none = F.size(hits) > 0, F.array().cast("array<string>")
+        return F.struct(
+            F.when(some, best["category"]).otherwise(F.lit("UNKNOWN")).alias("category"), F.when(some, strongest["subcategory"]).alias("subcategory"),
+            F.when(some, confidence).otherwise(0.0).alias("confidence"), F.lit("rules").alias("source"), F.when(some, names).otherwise(none).alias("matched_rules"),
+        )
+
+    hits = regex.let(text, lambda t: rule_hits(t, causes, gates))
+    return regex.let(regex.let(regex.let(hits, with_scores), with_best), result)
+
+
+def classify_rules(df: DataFrame, column: str, out: str = "classification", causes: Sequence[rules.Cause] = tuple(rules.CAUSES), gates: Sequence[Column] | None = None) -> DataFrame:
+    """Adds struct `out` as classified() gives it; gates: which rules are tried, where the caller knows."""
+    if gates is not None:
+        return df.withColumn(out, classified(F.col(column), causes, gates))
+    found, bits = prefilter(causes), f"__{out}_bits"
+    df = df.withColumn(bits, found.column(F.col(column)))
+    return df.withColumn(out, classified(F.col(column), causes, found.gates(F.col(bits)))).drop(bits)
 
 
 def cascade(rule: Column, ml: Column, settings: Settings = DEFAULTS) -> Column:
@@ -123,9 +145,9 @@ def load_model(path: str) -> PipelineModel | None:
     return model if hasattr(model.stages[0], "labels") else None
 
 
-def classify(df: DataFrame, column: str, out: str = "classification", model: PipelineModel | None = None, text: str = "text") -> DataFrame:
+def classify(df: DataFrame, column: str, out: str = "classification", model: PipelineModel | None = None, text: str = "text", gates: Sequence[Column] | None = None) -> DataFrame:
     """Rules, with the model's help if there is one."""
-    df = classify_rules(df, column, out)
+    df = classify_rules(df, column, out, gates=gates)
     if model is None:
         return df
     scored = classify_model(df.withColumn(text, F.col(column)) if text != column else df, model, "__ml")

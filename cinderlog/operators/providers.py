@@ -62,7 +62,7 @@ def stub(df: DataFrame, prompt: str, out: str = "answer") -> DataFrame:
         F.concat(F.lit("[stub] Rules matched: "), matched).alias("root_cause"), text.alias("explanation"), short.alias("is_transient"), short.alias("retry_recommended"), evidence.alias("evidence"), advice.alias("recommendations"),
     )
     usage = F.struct(F.lit("stub").alias("provider"), F.lit("stub-v1").alias("model"), F.floor(F.length(prompt) / 4).cast("int").alias("prompt_tokens"), F.lit(180).alias("completion_tokens"), F.lit(0.0).alias("cost_usd"))
-    return df.withColumns({out: regex.sealed(value), f"{out}_usage": usage}).drop("__stub")
+    return df.withColumns({out: value, f"{out}_usage": usage}).drop("__stub")
 
 
 def salvage(text: Column, schema: str = ANSWER) -> Column:

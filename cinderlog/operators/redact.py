@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cinderlog import rules
 from cinderlog.functions import regex
+from cinderlog.functions.literals import Prefilter
 from cinderlog.functions.vector import shannon_entropy
 from cinderlog.settings import DEFAULTS, Settings
 
@@ -21,48 +22,66 @@ def _is_random(x: Column, threshold: float) -> Column:
     return ~regex.matches(x, rules.ENTROPY_EXCLUDED, "i") & (shannon_entropy(x) >= threshold)
 
 
-def _gated(gate: Column, rule: rules.Redaction) -> Callable[[Column], Column]:
-    return lambda x: F.when(gate, regex.replace(x, rule.pattern, rule.replacement, rule.flags)).otherwise(x)
+#: Two rules look for runs of 32 such characters at least, as the rule of 40 does.
+_LONG_RUN = r"[A-Za-z0-9+/=_\-]{32}"
 
 
-def _gated_parts(gate: Column, rule: rules.Redaction) -> Callable[[Column], Column]:
-    return lambda x: F.when(gate, regex.split_matches(x, rule.pattern, rule.flags)).when(x.isNotNull(), F.array(x))
+def prefilter(chain: Sequence[rules.Redaction]) -> Prefilter:
+    """Which rules' literals a lower-cased text has; a rule without literals is always tried."""
+    return Prefilter([frozenset(x.literals) or None for x in chain], fold=False)
 
 
-def redact(df: DataFrame, column: str, out: str = "redaction", strict: bool | Column = True, chain: Sequence[rules.Redaction] = tuple(rules.REDACTIONS), settings: Settings = DEFAULTS) -> DataFrame:
-    """Adds struct `out` (text, count, types). Each rule is a projection of its own, so none is evaluated twice.
+def _after(x: Column, text: Column, hits: Column, name: str) -> Column:
+    return F.struct(text.alias("text"), (x["count"] + hits.cast("int")).alias("count"), F.array_append(x["types"], F.lit(name)).alias("types"))
 
-    A failing row fails the task: no partly redacted text leaves. Null stays null.
-    """
-    t, low = f"__{out}_text", f"__{out}_low"
-    df = df.withColumns({t: F.col(column), low: F.lower(F.col(column))})
-    hits: list[tuple[str, str]] = []
-    for i, rule in enumerate(chain):
-        n, text = f"__{out}_n{i}", F.col(t)
-        gate = F.lit(True)
-        if rule.literals:
-            gate = F.lit(False)
-            for literal in rule.literals:
-                gate = gate | F.contains(F.col(low), F.lit(literal))
+
+def _step(rule: rules.Redaction, gate: Column) -> Callable[[Column], Column]:
+    """What a rule makes of (text, count, types)."""
+
+    def replaced(x: Column) -> Column:
         if rule.name == "email":
-            parts = f"__{out}_parts"
-            df = df.withColumn(parts, regex.let(text, _gated_parts(gate, rule)))
-            replaced, counted = regex.replace_each(F.col(parts), _is_email_secret, rule.replacement)
-            df = df.withColumns({n: counted, t: replaced}).drop(parts)
-        else:
-            df = df.withColumns({
-                n: F.when(gate, regex.count(text, rule.pattern, rule.flags)).otherwise(0),
-                t: regex.let(text, _gated(gate, rule)),
-            })
-        hits.append((rule.name, n))
+            return _parts_step(x, regex.split_matches(x["text"], rule.pattern, rule.flags), _is_email_secret, rule.replacement, rule.name)
+        text = regex.replace(x["text"], rule.pattern, rule.replacement, rule.flags)
+        return regex.let(regex.count(x["text"], rule.pattern, rule.flags), lambda n: F.when(n > 0, _after(x, text, n, rule.name)).otherwise(x))
+
+    def step(x: Column) -> Column:
+        tried = regex.matches(x["text"], _LONG_RUN) if rule.name == "aws_secret" else gate
+        return F.when(tried, replaced(x)).otherwise(x)
+
+    return step
+
+
+def _parts_step(x: Column, parts: Column, hit: Callable[[Column], Column], replacement: str, name: str) -> Column:
+    """x after the matches among parts for which hit holds are replaced."""
+
+    def replaced(marked: Column) -> Column:
+        n = F.size(F.filter(marked, lambda y: y["hit"]))
+        text = F.array_join(F.transform(marked, lambda y: F.when(y["hit"], F.lit(replacement)).otherwise(y["part"])), "")
+        return F.when(n > 0, _after(x, text, n, name)).otherwise(x)
+
+    marked = F.transform(parts, lambda y, i: F.struct(y.alias("part"), ((i % 2 == 1) & hit(y)).alias("hit")))
+    return regex.let(marked, replaced)
+
+
+def redacted(text: Column, gates: Sequence[Column], chain: Sequence[rules.Redaction] = tuple(rules.REDACTIONS), strict: bool | Column = True, settings: Settings = DEFAULTS) -> Column:
+    """struct<text, count, types>; gates: whether each rule of the chain is tried."""
+    value = F.struct(text.alias("text"), F.lit(0).alias("count"), F.array().cast("array<string>").alias("types"))
+    for rule, gate in zip(chain, gates, strict=True):
+        value = regex.let(value, _step(rule, gate))
     if strict is not False:
-        text, parts, n = F.col(t), f"__{out}_parts", f"__{out}_entropy"
         wanted = F.lit(strict) if isinstance(strict, bool) else strict
-        df = df.withColumn(parts, regex.let(text, lambda x: F.when(wanted, regex.split_matches(x, rules.ENTROPY_CANDIDATE)).when(x.isNotNull(), F.array(x))))
-        replaced, counted = regex.replace_each(F.col(parts), lambda x: _is_random(x, settings.entropy_threshold), "[REDACTED_HIGH_ENTROPY]")
-        df = df.withColumns({n: counted, t: replaced}).drop(parts)
-        hits.append(("high_entropy", n))
-    names = F.array_compact(F.array(*(F.when(F.col(n) > 0, F.lit(name)) for name, n in hits)))
-    total = sum((F.coalesce(F.col(n), F.lit(0)) for _, n in hits), F.lit(0))
-    value = F.struct(F.col(t).alias("text"), total.cast("int").alias("count"), F.array_sort(names).alias("types"))
-    return df.withColumn(out, regex.sealed(value)).drop(t, low, *(n for _, n in hits))
+        random = lambda y: _is_random(y, settings.entropy_threshold)
+        entropy = lambda x: _parts_step(x, regex.split_matches(x["text"], rules.ENTROPY_CANDIDATE), random, "[REDACTED_HIGH_ENTROPY]", "high_entropy")
+        value = regex.let(value, lambda x: F.when(wanted & regex.matches(x["text"], _LONG_RUN), entropy(x)).otherwise(x))
+    return regex.let(value, lambda x: F.struct(x["text"].alias("text"), x["count"].alias("count"), F.array_sort(x["types"]).alias("types")))
+
+
+def redact(df: DataFrame, column: str, out: str = "redaction", strict: bool | Column = True, chain: Sequence[rules.Redaction] = tuple(rules.REDACTIONS), settings: Settings = DEFAULTS) -> DataFrame:
+    """Adds struct `out` (text, count, types): all rules in one expression, each on what those before it left.
+
+    Literals are looked for in the original text, in one pass for all rules. A failing row fails the task: no
+    partly redacted text leaves. Null stays null.
+    """
+    found, bits = prefilter(chain), f"__{out}_bits"
+    df = df.withColumn(bits, found.column(F.lower(F.col(column))))
+    return df.withColumn(out, redacted(F.col(column), found.gates(F.col(bits)), chain, strict, settings)).drop(bits)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,33 +12,52 @@ from cinderlog.functions import regex
 from cinderlog.settings import DEFAULTS, Settings
 
 
-
 def basis(error_block: Column, error_message: Column, cleaned: Column) -> Column:
     """What a signature is made from: the first of these that isn't empty, or the text's end."""
     return F.coalesce(regex.nonempty(error_block), regex.nonempty(error_message), F.right(cleaned, F.lit(2000)))
 
 
-def normalise(df: DataFrame, column: str, out: str = "normalised", settings: Settings = DEFAULTS) -> DataFrame:
-    """Adds `out`: the text with ids, times, paths and the like made tokens.
+def _normaliser(pattern: str, flags: str, token: str) -> Callable[[Column], Column]:
+    literal = rules.NORMALISER_LITERALS.get(pattern)
+
+    def one(x: Column) -> Column:
+        done = regex.replace(x, pattern, token, flags)
+        return done if literal is None else F.when(F.contains(x, F.lit(literal)), done).otherwise(x)
+
+    return one
+
+
+def normalised(text: Column, settings: Settings = DEFAULTS) -> Column:
+    """The text with ids, times, paths and the like made tokens.
 
     Numbers that tell errors apart are parked in numbered slots meanwhile and put back.
     """
-    parts, parked = f"__{out}_parts", f"__{out}_parked"
-    df = df.withColumn(out, regex.head(regex.strip(F.col(column)), settings.signature_chars))
-    df = df.withColumn(parts, regex.split_matches(F.col(out), rules.MEANINGFUL_NUMBER, "i"))
     slot = lambda i: F.concat(F.lit("\0PM"), ((i - 1) / 2).cast("int").cast("string"), F.lit("\0"))
-    df = df.withColumns({
-        out: F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, slot(i)).otherwise(x)), ""),
-        parked: F.filter(parts, lambda x, i: i % 2 == 1),
-    })
-    for pattern, flags, token in rules.NORMALISERS:
-        df = df.withColumn(out, regex.replace(F.col(out), pattern, token, flags))
-    n = F.size(parked)
-    indices = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    restored = F.aggregate(
-        indices, F.col(out), lambda text, i: F.replace(text, F.concat(F.lit("\0PM"), i.cast("string"), F.lit("\0")), F.get(F.col(parked), i))
-    )
-    return df.withColumn(out, regex.sealed(F.lower(regex.strip(regex.replace(restored, r"\s+", " "))))).drop(parts, parked)
+
+    def park(parts: Column) -> Column:
+        text = F.array_join(F.transform(parts, lambda x, i: F.when(i % 2 == 1, slot(i)).otherwise(x)), "")
+        return F.struct(text.alias("text"), F.filter(parts, lambda x, i: i % 2 == 1).alias("parked"))
+
+    def tokens(x: Column) -> Column:
+        text = x["text"]
+        for normaliser in rules.NORMALISERS:
+            text = regex.let(text, _normaliser(*normaliser))
+        return F.struct(text.alias("text"), x["parked"].alias("parked"))
+
+    def restore(x: Column) -> Column:
+        n = F.size(x["parked"])
+        indices = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(indices, x["text"], lambda text, i: F.replace(text, F.concat(F.lit("\0PM"), i.cast("string"), F.lit("\0")), F.get(x["parked"], i)))
+
+    start = regex.head(regex.strip(text), settings.signature_chars)
+    parts = regex.split_matches(start, rules.MEANINGFUL_NUMBER, "i")
+    restored = regex.let(regex.let(regex.let(parts, park), tokens), restore)
+    return F.lower(regex.strip(regex.replace(restored, r"\s+", " ")))
+
+
+def normalise(df: DataFrame, column: str, out: str = "normalised", settings: Settings = DEFAULTS) -> DataFrame:
+    """Adds `out`: the text as normalised() gives it."""
+    return df.withColumn(out, normalised(F.col(column), settings))
 
 
 def signature_hash(ecosystem: Column, normalised: Column) -> Column:

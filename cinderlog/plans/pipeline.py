@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cinderlog import rules
 from cinderlog.functions import regex
+from cinderlog.functions.literals import Prefilter
 from cinderlog.operators import analyze as answers
 from cinderlog.operators import chunk, classify, extract, ledger, prompt, providers, redact, retrieve, signature
 from cinderlog.settings import DEFAULTS, Settings
@@ -20,22 +21,28 @@ from cinderlog.workers import materialised
 def process_logs(logs: DataFrame, column: str = "raw_log", strict: bool | Column = True, model: PipelineModel | None = None, settings: Settings = DEFAULTS) -> DataFrame:
     """logs with redaction, cleaned, extraction, signature_hash, classification and reduction.
 
-    One narrow stage: nothing is shuffled, so it scales with the input's partitions.
+    One narrow stage: nothing is shuffled, so it scales with the input's partitions. Each result is one
+    expression. A pass over the raw text and one over the cleaned text find the literals of all rules, families and
+    causes; the passes are also where a filter on a result stops, so what comes before them runs once.
     """
     df = redact.redact(logs, column, "redaction", strict, settings=settings)
-    df = df.withColumn("__redacted", F.col("redaction.text"))
-    df = extract.clean(df, "__redacted", "cleaned")
-    df = extract.extract(df, "cleaned", "extraction", settings)
+    df = extract.clean(df, "redaction.text", "cleaned")
+    families, causes = extract.prefilter(), classify.prefilter()
+    found = Prefilter([*families.sets, *causes.sets])
+    df = df.withColumn("__bits", found.column(F.col("cleaned")))
+    gates = found.gates(F.col("__bits"))
+    df = extract.extract(df, "cleaned", "extraction", settings, gates[: len(families.sets)])
     e = F.col("extraction")
+    # what is classified is a part of the cleaned text, so its literals are among those found
     df = df.withColumn("__basis", signature.basis(e["error_block"], e["error_message"], F.col("cleaned")))
     df = signature.normalise(df, "__basis", "normalised", settings)
     df = df.withColumn("signature_hash", signature.signature_hash(e["ecosystem"], F.col("normalised")))
-    df = classify.classify(df, "__basis", "classification", model)
+    df = classify.classify(df, "__basis", "classification", model, gates=gates[len(families.sets) :])
     original, kept = F.length(F.col(column)), F.length(e["excerpt"])
     df = df.withColumn("reduction", F.struct(original.alias("original_chars"), kept.alias("excerpt_chars"), extract.reduction_ratio(original, kept).alias("ratio")))
     if "exit_code" in logs.columns:
         df = df.withColumn("exit_code", F.coalesce(F.nullif(e["exit_code"], F.lit(0)), F.col("exit_code")))
-    return df.drop("__redacted", "__basis")
+    return df.drop("__bits", "__basis")
 
 
 def similar(requests: DataFrame, corpus: DataFrame, encoder: Callable[[], chunk.Encoder] = chunk.HashedEncoder, settings: Settings = DEFAULTS) -> DataFrame:
@@ -105,7 +112,7 @@ def analyze(requests: DataFrame, signatures: DataFrame, teams: DataFrame | None
     df = df.withColumn("__excerpt", F.col("__r.text")).drop("__r")
     df = df.withColumn("__basis", F.coalesce(regex.nonempty(F.col("error_block")), F.col("__excerpt")))
     df = classify.classify(df, "__basis", "__c", model)
-    df = df.withColumns({"__request": regex.sealed(F.struct(*fields)), "signature_hash": F.col("failure.signature_hash")})
+    df = df.withColumns({"__request": F.struct(*fields), "signature_hash": F.col("failure.signature_hash")})
     df = retrieve.signature_history(df, signatures)
     history, wants_rag = F.col("history"), F.coalesce(F.col("use_rag"), F.lit(True))
     df = df.withColumns({

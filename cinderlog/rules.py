@@ -63,6 +63,8 @@ CLEANERS = [
     (r"^\s*(?:Downloading|Fetching|Receiving|Resolving|Unpacking|Extracting|Pulling|Downloaded|Get:|Selecting|Preparing to unpack|\d+%\s*[\[\|#=.]+|\s*[\d.]+ [KMG]iB/s).*$", "im", ""),
     (r"\n{3,}", "", "\n\n"),
 ]
+# What a text must contain for a pattern of CLEANERS to match.
+CLEANER_LITERALS = {CLEANERS[0][0]: "\x1b", CLEANERS[1][0]: "\r", CLEANERS[2][0]: "section_", CLEANERS[3][0]: "##[", CLEANERS[6][0]: "\n\n\n"}
 
 # Error families; the first that matches claims the log, as (name, pattern, flags).
 FAMILIES = [
@@ -110,6 +112,8 @@ NORMALISERS = [
     (r"\b(pid|ppid|tid|thread|worker|job|build|run|attempt|retry|try|seq)\s*[:=#]?\s*\d+\b", "i", "$1=<num>"),
     (r"\b\d{3,}\b", "", "<num>"),
 ]
+# What a text must contain for a pattern of NORMALISERS to match.
+NORMALISER_LITERALS = {NORMALISERS[0][0]: "[REDACTED", NORMALISERS[7][0]: "/", NORMALISERS[8][0]: "<path>:", NORMALISERS[9][0]: ":"}
 
 
 class Cause(NamedTuple):
