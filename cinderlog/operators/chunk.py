@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from cinderlog.functions import regex
 from cinderlog.settings import DEFAULTS, Settings
 
+_LOG = logging.getLogger(__name__)
 Encoder = Callable[[list[str]], np.ndarray]
 
 
@@ -107,15 +109,44 @@ class HashedEncoder:
         return out / np.where(norm > 0, norm, 1)
 
 
-def embed(df: DataFrame, column: str, out: str = "embedding", encoder: Callable[[], Encoder] = HashedEncoder, settings: Settings = DEFAULTS) -> DataFrame:
-    """Adds `out`; the encoder is made once a task and gets batches of texts."""
+def embed(df: DataFrame, column: str, out: str = "embedding", encoder: Callable[[], Encoder] = HashedEncoder, settings: Settings = DEFAULTS, degrade: bool = False) -> DataFrame:
+    """Adds `out`; the encoder is made once a task and gets batches of texts.
+
+    degrade: a text that the encoder fails on gets null, and where no encoder can be made all do; else the task fails.
+    """
+
+    def one_by_one(encode: Encoder, texts: list[str]) -> list:
+        out: list = []
+        for text in texts:
+            try:
+                out.append(encode([text])[0])
+            except Exception as e:  # noqa: BLE001  an encoder may raise anything
+                _LOG.warning("a text could not be encoded: %s", type(e).__name__)
+                out.append(None)
+        return out
+
+    def encoded(encode: Encoder | None, texts: list[str]) -> list:
+        if encode is None:
+            return [None] * len(texts)
+        try:
+            return list(encode(texts))
+        except Exception:  # noqa: BLE001
+            if not degrade:
+                raise
+            return one_by_one(encode, texts)
 
     @F.pandas_udf("array<float>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode = encoder()
+        try:
+            encode = encoder()
+        except Exception as e:  # noqa: BLE001
+            if not degrade:
+                raise
+            _LOG.warning("no encoder: %s", type(e).__name__)
+            encode = None
         for part in parts:
             texts = part.fillna("").tolist()
-            rows = [x for i in range(0, len(texts), settings.embedding_batch) for x in encode(texts[i : i + settings.embedding_batch])]
+            rows = [x for i in range(0, len(texts), settings.embedding_batch) for x in encoded(encode, texts[i : i + settings.embedding_batch])]
             yield pd.Series(rows)
 
     from cinderlog.workers import workers_find_package

@@ -97,6 +97,20 @@ def error_kind(message: Column) -> Column:
     return value
 
 
+#: Errors that aren't told from a message: struct fields of error_kind.
+OTHER_ERRORS = (("invalid", "AI_INVALID_RESPONSE", 502, True), ("budget", "AI_BUDGET_EXCEEDED", 402, False))
+
+
+def error_row(kind: Column, message: Column) -> Column:
+    """struct<kind, code, status, retryable, message> of a kind of error; null without one."""
+    table = [x[:4] for x in rules.PROVIDER_ERRORS] + [rules.PROVIDER_ERROR_ELSE, *OTHER_ERRORS]
+    value = F.lit(None).cast(ERROR)
+    for name, code, status, retryable in table:
+        value = F.when(kind == name, F.struct(F.lit(name).alias("kind"), F.lit(code).alias("code"), F.lit(status).alias("status"), F.lit(retryable).alias("retryable"), message.alias("message"))).otherwise(value)
+    return value
+
+
+ERROR = "struct<kind:string,code:string,status:int,retryable:boolean,message:string>"
 RETRYABLE = ("rate_limit", "timeout", "unavailable")
 #: Kinds that a provider tries again by itself before it gives up.
 TRIED_AGAIN = ("rate_limit", "timeout")

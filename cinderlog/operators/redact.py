@@ -85,3 +85,19 @@ def redact(df: DataFrame, column: str, out: str = "redaction", strict: bool | Co
     found, bits = prefilter(chain), f"__{out}_bits"
     df = df.withColumn(bits, found.column(F.lower(F.col(column))))
     return df.withColumn(out, redacted(F.col(column), found.gates(F.col(bits)), chain, strict, settings)).drop(bits)
+
+
+def redact_request(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
+    """A request's texts redacted in place: error block, stack trace, commit message, patches and source windows.
+
+    One pass over all of them finds the rules' literals.
+    """
+    patches, windows = F.col("pipeline.changed_files.patch"), F.col("source_context.content")
+    found, texts = prefilter(rules.REDACTIONS), F.concat_ws("\n", "error_block", "stack_trace", F.col("pipeline.commit_message"), patches, windows)
+    df = df.withColumn("__texts", found.column(F.lower(texts)))
+    gates = found.gates(F.col("__texts"))
+    clean = lambda x: redacted(x, gates, strict=settings.strict_redaction, settings=settings)["text"]
+    files = F.transform(F.col("pipeline.changed_files"), lambda x: x.withField("patch", clean(x["patch"])))
+    pipeline = F.col("pipeline").withField("commit_message", clean(F.col("pipeline.commit_message"))).withField("changed_files", files)
+    windows = F.transform(F.col("source_context"), lambda x: x.withField("content", clean(x["content"])))
+    return df.withColumns({"error_block": clean(F.col("error_block")), "stack_trace": clean(F.col("stack_trace")), "pipeline": pipeline, "source_context": windows}).drop("__texts")

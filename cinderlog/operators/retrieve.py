@@ -1,21 +1,28 @@
 """Retrieval: similar failures, signature history, knowledge chunks and their neighbours.
 
 A single query vector is a literal and its top rows come from TakeOrderedAndProject. A
-batch of queries is joined by team, so each corpus row meets its own team's queries only;
-the best of each corpus partition are kept before they are shuffled, so a query never
-gathers all its scored rows in one task.
+batch of queries goes through an index of spherical cells (vector_index): queries and rows
+meet by team and cell, in tiles of bounded size, and only each query's best rows leave one.
 """
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.functions import regex
 from cinderlog.functions.vector import as_sent, cosine
+from cinderlog.operators import vector_index
+from cinderlog.operators.vector_index import VectorIndex
 from cinderlog.settings import DEFAULTS, Settings
+from cinderlog.workers import materialised
+
+_LOG = logging.getLogger(__name__)
 
 
 def vector_literal(values: list[float]) -> Column:
@@ -52,15 +59,22 @@ def _shaped(rows: DataFrame) -> DataFrame:
     )
 
 
-def similar_batch(corpus: DataFrame, queries: DataFrame, limit: int | None = None, threshold: float | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """similar_failures for every row of queries (query_id, team_id, vector, category, exclude_id)."""
-    k = limit or settings.max_similar_failures
-    q = queries.select("query_id", "team_id", as_sent(F.col("vector")).alias("__v"), F.when(F.col("category") != "UNKNOWN", regex.nonempty(F.col("category"))).alias("__c"), "exclude_id")
-    scored = corpus.join(q, "team_id").where(F.col("exclude_id").isNull() | (F.col("failure_id") != F.col("exclude_id"))).withColumn("__s", cosine(F.col("embedding"), F.col("__v")))
-    scored = scored.where(F.col("__s") >= (settings.similarity_threshold if threshold is None else threshold))
+def similar_batch(corpus: DataFrame | VectorIndex, queries: DataFrame, limit: int | None = None, threshold: float | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """similar_failures for every row of queries (query_id, team_id, vector, category, exclude_id).
+
+    corpus: an index over failures, or failures of which one is made.
+    """
+    k, least = limit or settings.max_similar_failures, settings.similarity_threshold if threshold is None else threshold
+    index = corpus if isinstance(corpus, VectorIndex) else vector_index.build(corpus)
+    q = materialised(queries.select("query_id", "team_id", as_sent(F.col("vector")).alias("vector"), F.when(F.col("category") != "UNKNOWN", regex.nonempty(F.col("category"))).alias("same"), "exclude_id"))
+    # one more than asked for, as the row to leave out may be among them
+    near = vector_index.search(index, q, least, k + 1, F.col("resolved_at").isNotNull(), F.col("category"))
+    asked = q.select("query_id", F.col("vector").alias("__v"), F.col("same").alias("__c"), "exclude_id")
+    scored = near.join(index.rows.drop("cell", "angle"), "failure_id").join(asked, "query_id").where(F.col("exclude_id").isNull() | (F.col("failure_id") != F.col("exclude_id")))
+    scored = scored.withColumn("__s", cosine(F.col("embedding"), F.col("__v"))).where(F.col("__s") >= least)
     order = [F.col("resolved_at").isNotNull().desc(), (F.col("category") == F.col("__c")).desc_nulls_first(), F.col("__s").desc(), F.col("failure_id")]
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
-    return _shaped(ranked.where(F.col("rank") <= k))  # Spark limits each partition's group before the shuffle
+    return _shaped(ranked.where(F.col("rank") <= k))
 
 
 def signature_history(requests: DataFrame, signatures: DataFrame) -> DataFrame:
@@ -84,15 +98,23 @@ def knowledge(chunks: DataFrame, documents: DataFrame, vector: list[float], team
     return rows.orderBy(order, F.col("__s").desc(), "document_id", "chunk_index").limit(limit).select("document_id", "chunk_index", "title", "content", F.round("__s", 4).alias("similarity"))
 
 
-def knowledge_batch(chunks: DataFrame, documents: DataFrame, queries: DataFrame, limit: int | None = None, threshold: float | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """knowledge for every row of queries (query_id, team_id, project_id, vector), with its rank."""
-    k = limit or settings.max_knowledge_seeds
+def knowledge_index(chunks: DataFrame, documents: DataFrame) -> VectorIndex:
+    """An index over the chunks of active documents, with title and the document's project."""
     docs = documents.where("is_active").select(F.col("id").alias("document_id"), "title", F.col("project_id").alias("__project"))
-    q = queries.select("query_id", "team_id", "project_id", as_sent(F.col("vector")).alias("__v"))
-    rows = chunks.select("document_id", "chunk_index", "team_id", "content", "embedding").join(docs, "document_id").join(q, "team_id")
-    rows = rows.where(F.col("project_id").isNull() | F.col("__project").isNull() | (F.col("__project") == F.col("project_id"))).withColumn("__s", cosine(F.col("embedding"), F.col("__v")))
-    rows = rows.where(F.col("__s") >= (settings.knowledge_threshold if threshold is None else threshold))
-    order = [(F.col("__project") == F.col("project_id")).desc_nulls_first(), F.col("__s").desc(), F.col("document_id"), F.col("chunk_index")]
+    rows = chunks.select("document_id", "chunk_index", "team_id", "content", "embedding").join(docs, "document_id")
+    return vector_index.build(rows, key="document_id")
+
+
+def knowledge_batch(chunks: DataFrame | VectorIndex, documents: DataFrame | None, queries: DataFrame, limit: int | None = None, threshold: float | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """knowledge for every row of queries (query_id, team_id, project_id, vector), with its rank; chunks: or an index as knowledge_index makes it."""
+    k, least = limit or settings.max_knowledge_seeds, settings.knowledge_threshold if threshold is None else threshold
+    index = chunks if isinstance(chunks, VectorIndex) else knowledge_index(chunks, documents)
+    q = materialised(queries.select("query_id", "team_id", as_sent(F.col("vector")).alias("vector"), F.col("project_id").alias("same")))
+    near = vector_index.search(index, q, least, k, None, F.col("__project"), only_same=True, keys=["document_id", "chunk_index"])
+    asked = q.select("query_id", F.col("vector").alias("__v"), F.col("same").alias("__p"))
+    rows = near.join(index.rows.drop("cell", "angle"), ["document_id", "chunk_index"]).join(asked, "query_id")
+    rows = rows.withColumn("__s", cosine(F.col("embedding"), F.col("__v"))).where(F.col("__s") >= least)
+    order = [(F.col("__project") == F.col("__p")).desc_nulls_first(), F.col("__s").desc(), F.col("document_id"), F.col("chunk_index")]
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "document_id", "chunk_index", "title", "content", F.round("__s", 4).alias("similarity"))
 
@@ -120,10 +142,14 @@ def expand_neighbours(seeds: DataFrame, chunks: DataFrame, documents: DataFrame,
 
 
 def safely(build: Callable[[], DataFrame], empty: DataFrame) -> tuple[DataFrame, bool]:
-    """A retrieval's rows, or `empty` and False if its plan can't be made: a failed lookup never fails an analysis."""
+    """A retrieval's rows, or `empty` and False if Spark can't plan or run it: a failed lookup never fails an analysis.
+
+    Errors of this library's own code aren't caught.
+    """
     try:
         found = build()
         found.schema  # analysis errors show here
-    except Exception:  # noqa: BLE001
+    except (PySparkException, Py4JJavaError) as e:
+        _LOG.warning("retrieval failed, analyses go on without it: %s", type(e).__name__)
         return empty, False
     return found, True

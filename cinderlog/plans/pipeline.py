@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from cinderlog.functions import regex
 from cinderlog.functions.literals import Prefilter
 from cinderlog.operators import analyze as answers
 from cinderlog.operators import chunk, classify, extract, ledger, prompt, providers, redact, retrieve, signature
+from cinderlog.operators.answers import AnswerLog, Pace, complete
+from cinderlog.operators.vector_index import VectorIndex
 from cinderlog.settings import DEFAULTS, Settings
 from cinderlog.workers import materialised
 
@@ -45,7 +48,7 @@ def process_logs(logs: DataFrame, column: str = "raw_log", strict: bool | Column
     return df.drop("__bits", "__basis")
 
 
-def similar(requests: DataFrame, corpus: DataFrame, encoder: Callable[[], chunk.Encoder] = chunk.HashedEncoder, settings: Settings = DEFAULTS) -> DataFrame:
+def similar(requests: DataFrame, corpus: DataFrame | VectorIndex, encoder: Callable[[], chunk.Encoder] = chunk.HashedEncoder, settings: Settings = DEFAULTS) -> DataFrame:
     """The most similar failures for each request (query_id, team_id, error_message, category, ecosystem, job_name, exclude_failure_id)."""
     text = chunk.embedding_input(F.col("error_message"), F.col("category"), F.col("ecosystem"), F.col("job_name"))
     queries = chunk.embed(requests.withColumn("__text", text), "__text", "vector", encoder, settings)
@@ -54,10 +57,10 @@ def similar(requests: DataFrame, corpus: DataFrame, encoder: Callable[[], chunk.
 
 @dataclass(frozen=True)
 class Sources:
-    """What retrieval inside an analysis looks through; embeddings are of `encoder`."""
+    """What retrieval inside an analysis looks through, as tables or as indexes over them; embeddings are of `encoder`."""
 
-    corpus: DataFrame | None = None
-    chunks: DataFrame | None = None
+    corpus: DataFrame | VectorIndex | None = None
+    chunks: DataFrame | VectorIndex | None = None
     documents: DataFrame | None = None
     encoder: Callable[[], chunk.Encoder] = chunk.HashedEncoder
 
@@ -67,24 +70,32 @@ _KNOWLEDGE = "array<struct<title:string,content:string,similarity:double>>"
 
 
 def retrieved(requests: DataFrame, sources: Sources, settings: Settings = DEFAULTS) -> DataFrame:
-    """request_id, similar, knowledge of the requests for which something is found.
+    """request_id, similar, knowledge of the requests whose texts could be encoded.
 
     requests: request_id, team_id, project_id, category, error_message, ecosystem, job_name.
     Similar failures, and the knowledge chunks most like category and error with those around them.
     """
-    asked = requests.withColumnRenamed("request_id", "query_id")
+    like = chunk.embedding_input(F.col("error_message"), F.col("category"), F.col("ecosystem"), F.col("job_name"))
+    about = chunk.knowledge_query(F.col("category"), F.col("error_message"), settings)
+    asked = requests.withColumns({"__like": like, "__about": about})
+    vectors = {"__s": "__like"} if sources.corpus is not None else {}
+    knows = sources.chunks is not None and (sources.documents is not None)
+    for out, text in (vectors | ({"__k": "__about"} if knows else {})).items():
+        asked = chunk.embed(asked, text, out, sources.encoder, settings, degrade=True).where(F.col(out).isNotNull())
+    asked = materialised(asked.drop("__like", "__about").withColumnRenamed("request_id", "query_id"))
     found = asked.select(F.col("query_id").alias("request_id"))
     if sources.corpus is not None:
-        rows = similar(asked.withColumn("exclude_failure_id", F.lit(None).cast("long")), sources.corpus, sources.encoder, settings)
+        queries = asked.select("query_id", "team_id", F.col("__s").alias("vector"), "category", F.lit(None).cast("long").alias("exclude_id"))
+        rows = retrieve.similar_batch(sources.corpus, queries, settings=settings)
         rows = rows.groupBy(F.col("query_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "similarity", "project_name", "resolution"))).alias("similar"))
         found = found.join(rows, "request_id", "left")
     else:
         found = found.withColumn("similar", F.lit(None))
-    if sources.chunks is not None and sources.documents is not None:
-        text = asked.withColumn("__text", chunk.knowledge_query(F.col("category"), F.col("error_message"), settings))
-        queries = chunk.embed(text, "__text", "vector", sources.encoder, settings)
+    if knows:
+        queries = asked.select("query_id", "team_id", "project_id", F.col("__k").alias("vector"))
         seeds = retrieve.knowledge_batch(sources.chunks, sources.documents, queries, settings=settings)
-        rows = retrieve.expand_neighbours(seeds, sources.chunks, sources.documents, settings)
+        chunks = sources.chunks.rows if isinstance(sources.chunks, VectorIndex) else sources.chunks
+        rows = retrieve.expand_neighbours(seeds, chunks, sources.documents, settings)
         rows = rows.groupBy(F.col("query_id").alias("request_id")).agg(F.array_sort(F.collect_list(F.struct("position", "title", "content", "similarity"))).alias("knowledge"))
         found = found.join(rows, "request_id", "left")
     else:
@@ -96,21 +107,32 @@ def retrieved(requests: DataFrame, sources: Sources, settings: Settings = DEFAUL
     )
 
 
-def analyze(requests: DataFrame, signatures: DataFrame, teams: DataFrame | None = None, ledger_rows: DataFrame | None = None, as_of: Column | None = None, sources: Sources | None = None, model: PipelineModel | None = None, make_provider: Callable[[str | None], providers.Provider] | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """request_id, analysis, status of each request (request_id and the request's fields).
+def analyze(
+    requests: DataFrame, signatures: DataFrame, teams: DataFrame | None = None, ledger_rows: DataFrame | None = None, as_of: Column | None = None, sources: Sources | None = None, model: PipelineModel | None = None,
+    make_provider: Callable[[str | None], providers.Provider] | None = None, settings: Settings = DEFAULTS, rates: tuple[float, float] = (0.0, 0.0), answer_log: AnswerLog | None = None, pace: Pace = Pace(), redact_all: bool = True,
+) -> DataFrame:
+    """request_id, analysis, status, error, degraded of each request (request_id and the request's fields).
 
     Requests of known signatures and those that want no model are split off by filters before
     a prompt is built, so a provider is asked for the others only. Retrieval looks through
     `sources` for requests that want it and whose signature has no known resolution; where it
-    can't be done, the analysis goes on without. A team over its budget gets status
-    "budget_exceeded" and no model's answer; a provider's failure gives status
-    "provider_error" and the rules' answer. make_provider: a provider for a request's
-    llm_override (JSON or null).
+    can't be done, for one request or for all, the analysis goes on without and says so (`degraded`).
+
+    Within the month's budget a team's requests are admitted in the order of their request_id, until what was spent and what
+    those before are expected to cost (by `rates`, dollars per 1,000 prompt and answer tokens) reaches it; others get status
+    "budget_exceeded" and no model's answer. A provider's failure gives status "provider_error", the rules' answer and
+    the error's kind, code, status and whether it may be tried again. make_provider: a provider for a request's
+    llm_override (JSON or null); answers are kept in answer_log, if there is one, and each prompt is asked once.
+
+    Nothing is stored before it is redacted, the log excerpt always, the request's other texts unless redact_all is
+    false (then they are used as they are, and stored). llm_override is never stored: it is taken from `requests` when providers
+    are asked. Intermediate tables lie in the folder of spark.checkpoint.dir; delete them once the result is written.
     """
-    fields = [c for c in requests.columns if c != "request_id"]
     df = redact.redact(requests, "log_excerpt", "__r", settings.strict_redaction, settings=settings)
-    df = df.withColumn("__excerpt", F.col("__r.text")).drop("__r")
-    df = df.withColumn("__basis", F.coalesce(regex.nonempty(F.col("error_block")), F.col("__excerpt")))
+    df = df.withColumn("log_excerpt", F.col("__r.text")).drop("__r")
+    df = redact.redact_request(df, settings) if redact_all else df
+    fields = [c for c in requests.columns if c not in ("request_id", "llm_override")]
+    df = df.withColumns({"__excerpt": F.col("log_excerpt"), "__basis": F.coalesce(regex.nonempty(F.col("error_block")), F.col("log_excerpt"))})
     df = classify.classify(df, "__basis", "__c", model)
     df = df.withColumns({"__request": F.struct(*fields), "signature_hash": F.col("failure.signature_hash")})
     df = retrieve.signature_history(df, signatures)
@@ -122,44 +144,52 @@ def analyze(requests: DataFrame, signatures: DataFrame, teams: DataFrame | None
     })
     df = df.withColumn("__short", F.col("__known") & (F.col("__c.confidence") >= 0.85) & ~F.coalesce(F.col("force_llm"), F.lit(False)))
     df = materialised(df.select("request_id", "team_id", "__request", "__c", "__excerpt", "history", "__known", "__short", "__asks", "__rag"))  # the branches read it
+    none = {"similar": F.lit(None).cast(_SIMILAR), "knowledge": F.lit(None).cast(_KNOWLEDGE), "__failed": F.lit(False)}
     if sources is not None:
+        looks = F.col("__rag") & ~F.col("__known")
         r = F.col("__request")
-        looks = df.where("__rag AND NOT __known").select(
+        asking = df.where(looks).select(
             "request_id", "team_id", r["project"]["id"].alias("project_id"), F.col("__c.category").alias("category"), F.coalesce(regex.nonempty(regex.strip(r["error_block"])), F.col("__excerpt"), F.lit("")).alias("error_message"),
             r["failure"]["ecosystem"].alias("ecosystem"), r["job"]["name"].alias("job_name"),
         )
-        context, _ = retrieve.safely(lambda: materialised(retrieved(looks, sources, settings)), df.select("request_id", F.lit(None).cast(_SIMILAR).alias("similar"), F.lit(None).cast(_KNOWLEDGE).alias("knowledge")).limit(0))
-        df = df.join(context, "request_id", "left")
+        context, _ = retrieve.safely(lambda: materialised(retrieved(asking, sources, settings)), df.select("request_id", none["similar"].alias("similar"), none["knowledge"].alias("knowledge")).limit(0))
+        # a request without a row in the context is one that retrieval gave up on
+        df = df.join(context.withColumn("__there", F.lit(True)), "request_id", "left").withColumn("__failed", looks & F.col("__there").isNull()).drop("__there")
     else:
-        df = df.withColumns({"similar": F.lit(None).cast(_SIMILAR), "knowledge": F.lit(None).cast(_KNOWLEDGE)})
+        df = df.withColumns(none)
     some = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
     df = df.withColumn("__used", F.col("__rag") & (F.col("history").isNotNull() | some("similar") | some("knowledge")))
     request, c, wants_rag = F.col("__request"), F.col("__c"), F.col("__rag")
-    known = df.where("__short").select("request_id", answers.known_answer(request, c, history).alias("analysis"), F.lit("known_signature").alias("status"))
-    plain = df.where("NOT __short AND NOT __asks").select("request_id", answers.rules_answer(c, F.col("__used")).alias("analysis"), F.lit("rules").alias("status"))
+
+    def rows(of: DataFrame, analysis: Column, status: str, error: Column | None = None) -> DataFrame:
+        error = F.lit(None).cast(providers.ERROR) if error is None else error
+        return of.select("request_id", analysis.alias("analysis"), F.lit(status).alias("status"), error.alias("error"), F.col("__failed").alias("degraded"))
+
+    by_rules = answers.rules_answer(c, F.col("__used"))
+    out = [rows(df.where("__short"), answers.known_answer(request, c, history), "known_signature"), rows(df.where("NOT __short AND NOT __asks"), by_rules, "rules")]
     rest = df.where("NOT __short AND __asks")
-    over = None
-    if teams is not None and ledger_rows is not None:
-        budget = ledger.budget_status(teams, ledger_rows, as_of if as_of is not None else F.current_timestamp(), settings).select("team_id", F.col("status").alias("__budget"))
-        rest = rest.join(budget, "team_id", "left")
-        over = rest.where(F.col("__budget") == "exceeded").select("request_id", answers.rules_answer(c, F.col("__used")).alias("analysis"), F.lit("budget_exceeded").alias("status"))
-        rest = rest.where(F.coalesce(F.col("__budget") != "exceeded", F.lit(True)))
     rest = rest.withColumn("__prompt", prompt.render("__request", "__c", F.col("__excerpt"), F.col("similar"), F.col("knowledge"), history))
-    failed = None
+    if teams is not None and ledger_rows is not None:
+        budget = ledger.budget_status(teams, ledger_rows, as_of if as_of is not None else F.current_timestamp(), settings)
+        expected = ledger.token_cost(F.floor(F.length("__prompt") / settings.chars_per_token), F.lit(settings.expected_answer_tokens), *rates)
+        turns = ledger.admitted(rest.select("request_id", "team_id", expected.alias("cost_usd")), budget, ["request_id"])
+        rest = rest.join(turns.select("request_id", "admitted"), "request_id")
+        out.append(rows(rest.where("NOT admitted"), by_rules, "budget_exceeded", providers.error_row(F.lit("budget"), F.lit("The team's monthly budget is used up."))))
+        rest = rest.where("admitted")
     if make_provider is None:
         rest = providers.stub(rest, "__prompt", "__answer")
         usage = F.col("__answer_usage")
     else:
-        rest = rest.withColumn("__override", F.col("__request.llm_override").cast("string"))
-        rest = materialised(providers.complete(rest, "__prompt", make_provider, "__reply", "__override"))  # a prompt is asked once
-        failed = rest.where("__reply.error_kind IS NOT NULL").select("request_id", answers.rules_answer(c, F.col("__used")).alias("analysis"), F.lit("provider_error").alias("status"))
-        rest = rest.where("__reply.error_kind IS NULL").withColumn("__answer", providers.salvage(F.col("__reply.text")))
-        usage = F.col("__reply")
-    asked = rest.select("request_id", answers.model_answer(request, c, history, wants_rag, F.col("__used"), F.col("__answer"), usage, settings).alias("analysis"), F.lit("model").alias("status"))
-    out = known.unionByName(plain).unionByName(asked)
-    for more in (over, failed):
-        out = out.unionByName(more) if more is not None else out
-    return out
+        if "llm_override" in requests.columns:
+            rest = rest.join(requests.select("request_id", F.col("llm_override").cast("string").alias("__override")), "request_id")
+        asked = complete(rest, "__prompt", make_provider, "__reply", "__override" if "llm_override" in requests.columns else None, answer_log, pace)
+        rest = materialised(asked.drop("__override", "__reply_key"))  # the branches read it
+        reply = F.col("__reply")
+        out.append(rows(rest.where("__reply.error_kind IS NOT NULL"), by_rules, "provider_error", providers.error_row(reply["error_kind"], reply["error_message"])))
+        rest = rest.where("__reply.error_kind IS NULL").withColumn("__answer", providers.salvage(reply["text"]))
+        usage = reply
+    out.append(rows(rest, answers.model_answer(request, c, history, wants_rag, F.col("__used"), F.col("__answer"), usage, settings), "model"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def service_info(settings: Settings = DEFAULTS) -> dict:

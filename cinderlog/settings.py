@@ -27,6 +27,7 @@ class Settings:
     entropy_threshold: float = 4.2
     signature_chars: int = 2000
     source_text_chars: int = 4000
+    expected_answer_tokens: int = 180
     budget_warning_share: float = 0.8
     contract_version: str = "v1"
     service_version: str = "0.1.0"
