@@ -14,6 +14,8 @@ from cinderlog.functions.numbers import rounded_sql
 from cinderlog.functions.vector import cosine, shannon_entropy
 from cinderlog.operators import analyze, chunk, classify, extract, ledger, providers, recommend, redact, retrieve, signature
 from cinderlog.plans import duck, pipeline, views
+from cinderlog.sources.versioned import VersionedTable
+from cinderlog.workers import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -332,6 +334,32 @@ def upsert_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("failure_id", "model", "signature_id", "team_id", "embedding", F.length("source_text").cast("long").alias("source_chars"))
 
 
+_UPSERTED = ORACLES["upsert_embeddings"]
+
+
+@query(_UPSERTED)
+def upsert_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same changes in two batches through a versioned table, the second one handed over twice."""
+    changes = views.view(spark, sf_dir, _CHANGES)
+    table_ = VersionedTable.create(views.view(spark, sf_dir, _TARGET), new_folder(spark), ["failure_id", "model"])
+    for number, part in ((0, "failure_id % 8 < 4"), (1, "failure_id % 8 >= 4"), (1, "failure_id % 8 >= 4")):
+        table_.upsert(changes.where(part), ledger.upsert_embeddings, ("changes", number))
+    return table_.read().select("failure_id", "model", "signature_id", "team_id", "embedding", F.length("source_text").cast("long").alias("source_chars"))
+
+
+_LIMITS = "SELECT DISTINCT user_id % 5 AS team_id, CASE WHEN user_id % 5 < 4 THEN CAST(1000 * (user_id % 5) + 500 AS DOUBLE) END AS budget, CAST(10 * (user_id % 5) AS DOUBLE) AS spent FROM {events}"
+
+
+@query(f"""WITH r AS (SELECT event_id AS request_id, user_id % 5 AS team_id, CASE WHEN event_id % 13 <> 0 THEN event_id % 7 END AS cost FROM events),
+  p AS (SELECT request_id, team_id, coalesce(sum(cost) OVER (PARTITION BY team_id ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+  SELECT request_id, p.team_id AS team_id, CAST(before + spent AS DOUBLE) AS spent_before, coalesce(budget, 0) = 0 OR before + spent < budget AS admitted FROM p JOIN ({views.plain(_LIMITS)}) l ON l.team_id = p.team_id""")
+def admitted_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a request, admitted until its team's budget ends."""
+    requests = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), (F.col("user_id") % 5).alias("team_id"), F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 7).alias("cost_usd"))
+    found = ledger.admitted(requests, views.view(spark, sf_dir, _LIMITS), ["request_id"])
+    return found.select("request_id", "team_id", F.col("spent_before").cast("double").alias("spent_before"), "admitted")
+
+
 @query("SELECT event_id, round(event_id / 1000 * CAST(0.15 AS DOUBLE) + (event_id % 700) / 1000 * CAST(0.6 AS DOUBLE), 6) AS cost_usd FROM events")
 def token_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", ledger.token_cost(F.col("event_id"), F.col("event_id") % 700, 0.15, 0.6).alias("cost_usd"))

@@ -21,14 +21,18 @@ def workers_find_package(spark: SparkSession) -> None:
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, environment.get("PYTHONPATH", "")) if x)
 
 
-def materialised(df: DataFrame) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir, which all executors share, and reread."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A new name under the folder in spark.checkpoint.dir, which all executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.gettempdir() + "/cinderlog-work"
-    path = f"{base.rstrip('/')}/cinderlog-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/cinderlog-{uuid.uuid4().hex}"
+
+
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and reread."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
