@@ -6,9 +6,10 @@ subtrees that recur on many of them (navigation, banners, footers) are deleted w
 they lie outside of the page's article. What isn't content by its role (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) goes too,
 as a host of few pages can't show its template. The text of the article is what remains:
-the outermost <article> or <main> elements, or without any the whole body.
+the outermost <article> or <main> elements; without any the page's core, the innermost container with most of
+its words outside of links; and where no container has most of them, the whole body.
 
-Inside an article subtrees are counted apart: a block that recurs in half of a host's
+Inside an article or a core subtrees are counted apart: a block that recurs in half of a host's
 differing articles, and in three of them, is the site's (share bars, adverts, notices in any
 language) and goes too. What fewer articles repeat is their own words and stays, and so do
 inline elements, headings, list items and table cells that recur by themselves. Copies of an
@@ -41,6 +42,9 @@ LEAST_PAGES, LEAST_SHARE = 3, 0.01
 #: Inside articles: this many differing articles of a host, and this share of them.
 LEAST_ARTICLES, LEAST_ARTICLE_SHARE = 3, 0.5
 
+#: A page without an article: its core has this share of the words outside of links, and this many characters of them.
+CORE_SHARE, CORE_CHARS = 0.6, 400
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +54,7 @@ _DROPPED = frozenset("head script style noscript template nav aside footer form
 _CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 #: Parts of an article's own text that recur by themselves (section titles, table labels).
+_CONTAINERS = frozenset("html body div section td center table tbody tr details fieldset dl dd li ul ol".split())
 _PARTS = _INLINE | _VOID | frozenset("h1 h2 h3 h4 h5 h6 li dt dd tr td th caption figcaption".split())
 #: Tells a subtree's hash inside an article from the same subtree's outside.
 _INSIDE = 0x5BD1E9955BD1E995
@@ -160,8 +165,33 @@ def hashes(root: Node) -> dict[int, int]:
     return out
 
 
+def _core(root: Node) -> Node:
+    """The innermost container with CORE_SHARE of the page's words outside of links, if they are CORE_CHARS characters; else the page.
+
+    Containers have blocks of their own: a paragraph, a list or a block of text alone isn't one.
+    """
+    size: dict[int, int] = {}
+    todo: list[tuple[Node, bool]] = [(root, False)]
+    while todo:
+        node, ready = todo.pop()
+        if ready:
+            size[id(node)] = 0 if node.tag == "a" or node.dropped else sum(len("".join(x.split())) if isinstance(x, str) else size[id(x)] for x in node.children)
+        else:
+            todo.append((node, True))
+            todo += [(x, False) for x in node.children if not isinstance(x, str)]
+    total, core = size[id(root)], root
+    if total < CORE_CHARS:
+        return root
+    node: Node | None = root
+    while node is not None:
+        core = node
+        inner = [x for x in node.children if not isinstance(x, str) and x.tag in _CONTAINERS and size[id(x)] >= max(CORE_CHARS, CORE_SHARE * total)]
+        node = next((x for x in inner if any(not isinstance(y, str) and y.tag not in _INLINE | _VOID for y in x.children)), None)
+    return root if core.tag in ("html", "body") else core
+
+
 def _regions(root: Node) -> list[Node]:
-    """The outermost articles that aren't within something dropped, else the page."""
+    """The outermost articles that aren't within something dropped; without any the page's core, else the page."""
     found, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -172,7 +202,7 @@ def _regions(root: Node) -> list[Node]:
     if any(x.tag == "article" for x in found):
         return found
     inner = [y for x in found for y in _articles(x)]
-    return inner or found or [root]
+    return inner or found or [_core(root)]
 
 
 def _articles(node: Node) -> list[Node]:

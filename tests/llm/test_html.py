@@ -84,3 +84,55 @@ def test_names_and_attributes():
 def test_a_very_long_page():
     page = "<article>" + "".join(f"<p>line {i}</p>" for i in range(60_000)) + "</article>"
     assert html.main_text(html.parse(page), set()) == " ".join(f"line {i}" for i in range(60_000))
+
+
+def without_names(page):
+    """A page whose tags and names don't tell what is what."""
+    import re
+
+    page = re.sub(r"<(/?)(article|nav|footer|aside|header|main|section|form)\b", r"<\1div", page)
+    return re.sub(r'\s(class|id|role)=("[^"]*"|[^\s>]+)', "", page)
+
+
+def test_pages_without_names_equal_brute_force_counts(spark):
+    """Templates counted in plain Python; and with articles renamed, no article's text is lost and most are found exactly."""
+    import collections
+
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").where("page_id % 4 = 0").collect()
+    plain = [without_names(r.html) for r in pages]
+    # a block that every third page of a host has in its text, and one that all have around it
+    plain = [p.replace("<h1>", "<div><p>Teilen</p></div><h1>", 1) if i % 3 else p for i, p in enumerate(plain)]
+    df = spark.createDataFrame([(r.page_id, r.url, p) for r, p in zip(pages, plain, strict=True)], "page_id long, url string, html string")
+    found = {r.page_id: r.text for r in html.extract(df.repartition(5)).collect()}
+    trees, hosts = [html.parse(p) for p in plain], [html._host(r.url) for r in pages]
+    outside, inside, total, differing = collections.Counter(), collections.defaultdict(set), collections.Counter(hosts), collections.defaultdict(set)
+    for host, root in zip(hosts, trees, strict=True):
+        outside.update((host, x) for x in html.candidates(root))
+        blocks, article = html.inner_candidates(root)
+        if article:
+            differing[host].add(article)
+            for x in blocks:
+                inside[host, x].add(article)
+    equal = lost = 0
+    for r, host, root in zip(pages, hosts, trees, strict=True):
+        if html._regions(root) == [root]:
+            template = {x for x in html.candidates(root) if outside[host, x] >= max(3, 0.01 * total[host])}
+        else:
+            template = {x for x in html.inner_candidates(root)[0] if len(inside[host, x]) >= max(3, 0.5 * len(differing[host]))}
+        assert found[r.page_id] == html.main_text(root, template)
+        article = html.main_text(html.parse(r.html), set())
+        lost += article not in found[r.page_id]  # paragraphs of near copies may be half of a small host's articles
+        equal += article == found[r.page_id]
+    assert equal > 0.75 * len(pages) and lost <= 0.01 * len(pages)
+    assert sum("Teilen" not in t for t in found.values()) > 0.6 * len(pages)  # counts decide
+
+
+def test_core():
+    words = " ".join(f"word{i}" for i in range(120))
+    around = '<div><ul><li><a href="/">home</a></li></ul></div><div>advert text</div>{}<div>small print</div>'
+    assert text(around.format(f"<div><h2>T</h2><div>{words}</div><div>{words}</div></div>")) == f"T {words} {words}"
+    # one paragraph with most of the words isn't a core by itself
+    assert text(around.format(f"<div><h2>T</h2><div>{words}</div><div>more</div></div>")) == f"T {words} more"
+    assert text(around.format("<div><h2>T</h2><p>few words</p></div>")) == "home advert text T few words small print"
+    links = "".join(f'<li><a href="/{i}">{words}</a></li>' for i in range(3))
+    assert text(f"<div><ul>{links}</ul></div><div><p>{words}</p><p>end</p></div>") == f"{words} end"
