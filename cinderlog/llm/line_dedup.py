@@ -33,10 +33,11 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm._text import cut, map_arrow
+from cinderlog.llm._text import cut, map_arrow, text_bytes
 
 #: One pair of lines in this many, on average, begins no chunk; but one does after MOST_LINES lines with words.
 SKIP, MOST_LINES = 4, 32
@@ -94,6 +95,22 @@ def _rows(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """rows with their text compressed as it is read, for the joins that deal texts out anew."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        packer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield {"doc_id": batch.column("doc_id"), "mark": batch.column("mark"), "packed": [packer.compress(x) for x in text_bytes(batch.column("text"))]}
+
+    return map_arrow(rows, run, "doc_id long, mark long, packed binary")
+
+
+def _unpacked(column: pa.Array) -> Iterator[bytes]:
+    unpacker = zstandard.ZstdDecompressor()
+    return (unpacker.decompress(x) for x in column.to_pylist())
+
+
 def removed_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, mark, start, stop) of verified repetitions, as grown."""
     rows = _rows(documents)
@@ -114,13 +131,14 @@ def removed_lines(documents: DataFrame) -> DataFrame:
     flagged = cut(found.join(repeated, "digest").select("doc_id", "mark", "chunk", "digest", (place == F.col("first")).alias("is_first")))
     wanted = flagged.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("chunk", "is_first")).alias("wanted"))
     own = wanted.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
-    texts = rows.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))).select("doc_id", "mark", "text", "wanted")
+    texts = _packed(rows).join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark"))).select("doc_id", "mark", "packed", "wanted")
 
     def bytes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             out: dict[str, list] = {x: [] for x in ("doc_id", "mark", "start", "stop", "digest", "is_first", "part", "before", "after")}
-            for doc_id, mark, text, some in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "mark", "text", "wanted")), strict=True):
-                lines = text.encode().split(b"\n")
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("mark").to_pylist(), _unpacked(batch.column("packed")), batch.column("wanted").to_pylist(), strict=True)
+            for doc_id, mark, text, some in rows:
+                lines = text.split(b"\n")
                 by_number = {x["chunk"]: x["is_first"] for x in some}
                 for i, c in enumerate(chunks(lines)):
                     if i in by_number:
@@ -148,13 +166,12 @@ def clean(documents: DataFrame, with_text: bool = True) -> DataFrame:
     rows = _rows(documents)
     gone = removed_lines(documents).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("gone"))
     gone = gone.withColumnsRenamed({"doc_id": "__id", "mark": "__mark"})
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("doc_id", "text", "gone")
+    joined = _packed(rows).join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("mark") == F.col("__mark")), "left").select("doc_id", "packed", "gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             out: dict[str, list] = {"doc_id": [], "n_lines": [], "n_removed_lines": [], "n_removed_bytes": [], "text_sha256": [], "text": []}
-            for doc_id, text, some in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "text", "gone")), strict=True):
-                data = text.encode()
+            for doc_id, data, some in zip(batch.column("doc_id").to_pylist(), _unpacked(batch.column("packed")), batch.column("gone").to_pylist(), strict=True):
                 n = data.count(b"\n") + 1 if data else 0
                 kept, left = n, data
                 if some:
