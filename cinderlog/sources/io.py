@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import _parse_datatype_string
 
 from cinderlog.operators.ledger import upsert_embeddings
-from cinderlog.sources import schemas
+from cinderlog.sources import contracts, schemas
 
 
 def read_log_files(spark: SparkSession, path: str) -> DataFrame:
@@ -55,11 +55,11 @@ def write_embeddings(spark: SparkSession, target: str, changes: DataFrame) -> st
 
 
 def export_contracts(folder: str) -> list[str]:
-    """Writes each schema as JSON; returns the names of those that changed."""
+    """Writes each contract as JSON Schema; returns the names of those that changed."""
     changed = []
     Path(folder).mkdir(parents=True, exist_ok=True)
-    for name, ddl in schemas.ALL.items():
-        text = json.dumps(json.loads(_parse_datatype_string(ddl).json()), indent=2, sort_keys=True) + "\n"
+    for name, contract in contracts.CONTRACTS.items():
+        text = json.dumps(contracts.json_schema(contract), indent=2, sort_keys=True) + "\n"
         file = Path(folder) / f"{name}.json"
         if not file.exists() or file.read_text() != text:
             file.write_text(text)
@@ -67,6 +67,23 @@ def export_contracts(folder: str) -> list[str]:
     return changed
 
 
+def broken_contracts(folder: str) -> dict[str, list[tuple[str, str]]]:
+    """What an export of now would break for those who rely on the schemas in a folder: (path, reason) by name."""
+    out = {}
+    for file in sorted(Path(folder).glob("*.json")):
+        old = contracts.from_json_schema(json.loads(file.read_text()))
+        now = contracts.CONTRACTS.get(file.stem)
+        found = [("", "removed")] if now is None else contracts.breaking(old, now)
+        if found:
+            out[file.stem] = found
+    return out
+
+
+def read_checked_requests(spark: SparkSession, path: str, kind: str = "analyze_requests") -> tuple[DataFrame, DataFrame]:
+    """(requests, quarantine) of JSON lines: requests with their defaults, and lines with (path, reason) of each violation."""
+    return contracts.split(spark.read.text(path), contracts.CONTRACTS[kind])
+
+
 def is_alive(spark: SparkSession) -> bool:
     """Whether the engine answers at all."""
     try:
