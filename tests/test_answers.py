@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,13 @@ def test_chunks(spark, target, overlap):
         assert [c["index"] for c in got] == list(range(len(got)))
 
 
+def test_paragraphs_of_the_queries(spark):
+    """Every second newline is doubled, and texts keep all else."""
+    rows = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect() if r.text is not None] + ["", "a", "a\nb", "a\nb\nc", "\n\n\n", "a\n\nb\n"]
+    found = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, t string").select("i", queries._doubled(F.col("t")).alias("d")).collect()
+    assert {r.i: r.d for r in found} == {i: re.sub(r"([^\n]*\n[^\n]*)\n", "\\1\n\n", x) for i, x in enumerate(rows)}
+
+
 def test_embedding_input(spark):
     text = chunk.embedding_input(F.lit(" boom "), F.lit("UNKNOWN"), F.lit(""), F.lit("unit"))
     assert one(spark, text) == "boom | job: unit"
