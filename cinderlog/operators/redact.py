@@ -92,12 +92,17 @@ def redact_request(df: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
 
     One pass over all of them finds the rules' literals.
     """
-    patches, windows = F.col("pipeline.changed_files.patch"), F.col("source_context.content")
-    found, texts = prefilter(rules.REDACTIONS), F.concat_ws("\n", "error_block", "stack_trace", F.col("pipeline.commit_message"), patches, windows)
-    df = df.withColumn("__texts", found.column(F.lower(texts)))
-    gates = found.gates(F.col("__texts"))
-    clean = lambda x: redacted(x, gates, strict=settings.strict_redaction, settings=settings)["text"]
-    files = F.transform(F.col("pipeline.changed_files"), lambda x: x.withField("patch", clean(x["patch"])))
-    pipeline = F.col("pipeline").withField("commit_message", clean(F.col("pipeline.commit_message"))).withField("changed_files", files)
-    windows = F.transform(F.col("source_context"), lambda x: x.withField("content", clean(x["content"])))
-    return df.withColumns({"error_block": clean(F.col("error_block")), "stack_trace": clean(F.col("stack_trace")), "pipeline": pipeline, "source_context": windows}).drop("__texts")
+    none = F.array().cast("array<string>")
+    patches, windows = F.coalesce(F.col("pipeline.changed_files.patch"), none), F.coalesce(F.col("source_context.content"), none)
+    texts = F.concat(F.array("error_block", "stack_trace", F.col("pipeline.commit_message")), patches, windows)
+    found = prefilter(rules.REDACTIONS)
+    df = df.withColumn("__texts", texts).withColumn("__bits", found.column(F.lower(F.array_join("__texts", "\n"))))
+    gates = found.gates(F.col("__bits"))
+    # one expression for all texts: a copy of it for each would be planned again and again
+    df = df.withColumn("__clean", F.transform("__texts", lambda x: redacted(x, gates, strict=settings.strict_redaction, settings=settings)["text"]))
+    at = lambda i: F.get(F.col("__clean"), i)
+    files = F.transform(F.col("pipeline.changed_files"), lambda x, i: x.withField("patch", at(i + 3)))
+    pipeline = F.col("pipeline").withField("commit_message", at(F.lit(2))).withField("changed_files", files)
+    n = F.size(patches)
+    windows = F.transform(F.col("source_context"), lambda x, i: x.withField("content", at(i + 3 + n)))
+    return df.withColumns({"error_block": at(F.lit(0)), "stack_trace": at(F.lit(1)), "pipeline": pipeline, "source_context": windows}).drop("__texts", "__bits", "__clean")
