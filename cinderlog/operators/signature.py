@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cinderlog import rules
 from cinderlog.functions import regex
+from cinderlog.functions.literals import Prefilter
 from cinderlog.settings import DEFAULTS, Settings
 
 
@@ -17,21 +19,29 @@ def basis(error_block: Column, error_message: Column, cleaned: Column) -> Column
     return F.coalesce(regex.nonempty(error_block), regex.nonempty(error_message), F.right(cleaned, F.lit(2000)))
 
 
-def _normaliser(pattern: str, flags: str, token: str) -> Callable[[Column], Column]:
+def prefilter() -> Prefilter:
+    """Which of NORMALISER_RUNS' patterns a text has."""
+    return Prefilter([re.compile(x) for x in dict.fromkeys(rules.NORMALISER_RUNS.values())])
+
+
+def _normaliser(pattern: str, flags: str, token: str, gate: Column | None) -> Callable[[Column], Column]:
     literal = rules.NORMALISER_LITERALS.get(pattern)
 
     def one(x: Column) -> Column:
         done = regex.replace(x, pattern, token, flags)
-        return done if literal is None else F.when(F.contains(x, F.lit(literal)), done).otherwise(x)
+        if literal is not None:
+            done = F.when(F.contains(x, F.lit(literal)), done).otherwise(x)
+        return done if gate is None else F.when(gate, done).otherwise(x)
 
     return one
 
 
-def normalised(text: Column, settings: Settings = DEFAULTS) -> Column:
-    """The text with ids, times, paths and the like made tokens.
+def normalised(text: Column, settings: Settings = DEFAULTS, gates: Sequence[Column] | None = None) -> Column:
+    """The text with ids, times, paths and the like made tokens; gates: prefilter()'s of the text or of one that it is a part of.
 
     Numbers that tell errors apart are parked in numbered slots meanwhile and put back.
     """
+    tried = dict(zip(dict.fromkeys(rules.NORMALISER_RUNS.values()), gates, strict=True)) if gates else {}
     slot = lambda i: F.concat(F.lit("\0PM"), ((i - 1) / 2).cast("int").cast("string"), F.lit("\0"))
 
     def park(parts: Column) -> Column:
@@ -41,7 +51,7 @@ def normalised(text: Column, settings: Settings = DEFAULTS) -> Column:
     def tokens(x: Column) -> Column:
         text = x["text"]
         for normaliser in rules.NORMALISERS:
-            text = regex.let(text, _normaliser(*normaliser))
+            text = regex.let(text, _normaliser(*normaliser, tried.get(rules.NORMALISER_RUNS.get(normaliser[0]))))
         return F.struct(text.alias("text"), x["parked"].alias("parked"))
 
     def restore(x: Column) -> Column:
@@ -55,9 +65,9 @@ def normalised(text: Column, settings: Settings = DEFAULTS) -> Column:
     return F.lower(regex.strip(regex.replace(restored, r"\s+", " ")))
 
 
-def normalise(df: DataFrame, column: str, out: str = "normalised", settings: Settings = DEFAULTS) -> DataFrame:
+def normalise(df: DataFrame, column: str, out: str = "normalised", settings: Settings = DEFAULTS, gates: Sequence[Column] | None = None) -> DataFrame:
     """Adds `out`: the text as normalised() gives it."""
-    return df.withColumn(out, normalised(F.col(column), settings))
+    return df.withColumn(out, normalised(F.col(column), settings, gates))
 
 
 def signature_hash(ecosystem: Column, normalised: Column) -> Column:
