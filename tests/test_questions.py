@@ -37,6 +37,13 @@ def test_teams_of_another_type_are_found(spark):
     assert sorted(map(tuple, found)) == [(i, i % 60) for i in range(120)]
 
 
+def test_rows_that_a_join_drops_are_not_encoded(spark, tmp_path):
+    """A filter on vectors stays above the join that leaves 3 of 500 rows."""
+    rows = spark.range(500).select("id", F.concat(F.lit("error "), "id").alias("t")).join(spark.range(3), "id")
+    assert chunk.embed(rows, "t", encoder=lambda: Counted(str(tmp_path))).where(F.size("embedding") > 0).count() == 3
+    assert sorted(x for path in glob.glob(f"{tmp_path}/*") for x in open(path)) == ["error 0\n", "error 1\n", "error 2\n"]
+
+
 def test_the_same_question_is_encoded_once(spark, tmp_path):
     """300 requests of two teams with five texts, in projects with chunks of their own, without, and in none: as by single searches."""
     texts = ["connection refused by the db", "heap out of memory", "x509 expired", "no space left on device", ""]
